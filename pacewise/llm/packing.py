@@ -75,7 +75,7 @@ class WordTokens:
     #: A special token, which stands between words when many are encoded at once.
     MARK = "<|startoftext|>"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -101,26 +101,29 @@ class WordTokens:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens."""
-        memo = self.memo
-        words, odd = [], []
-        for i, x in enumerate(texts):
+        memo, get = self.memo, self.memo.get
+        out: list = []
+        holes: list[tuple[int, int, str]] = []
+        for x in texts:
             # file, group, record and unit separators split Python's words but not the tokenizer's
             if not x.isascii() and not unicodedata.is_normalized("NFC", x) or not _APART.isdisjoint(x):
-                odd.append(i)
-                words.append(())
-            else:
-                words.append(x.split())
-        new = set().union(*words).difference(memo)
-        old = memo.old
-        again = [(w, old[w]) for w in new if w in old]
-        memo.room()
-        memo.update(again)
-        self._learn(list(new.difference(old)))
-        get = memo.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
-        for i in odd:
-            out[i] = self._whole(texts[i])
-        return out
+                out.append([self._whole(x)])
+                continue
+            words = x.split()
+            row = list(map(get, words))
+            if None in row:
+                holes += [(len(out), k, words[k]) for k, ids in enumerate(row) if ids is None]
+            out.append(row)
+        if holes:
+            new = {w for _, _, w in holes}
+            memo.room()
+            old = memo.old
+            known = {w: old[w] for w in new if w in old}
+            memo.update(known)
+            self._learn(list(new.difference(known)))
+            for i, k, w in holes:
+                out[i][k] = memo[w]
+        return [b"".join(row) for row in out]
 
 
 _APART = frozenset("\x1c\x1d\x1e\x1f")
