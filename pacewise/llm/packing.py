@@ -8,10 +8,14 @@ and all are open, the fullest closes first.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import partial
+from itertools import compress
+from operator import is_
 
 import numpy as np
 import pandas as pd
@@ -75,7 +79,7 @@ class WordTokens:
     #: A special token, which stands between words when many are encoded at once.
     MARK = "<|startoftext|>"
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -89,7 +93,8 @@ class WordTokens:
     def _learn(self, words: list[str]) -> None:
         """Encode new words many at a time."""
         memo = self.memo
-        words = [w for w in words if "<|" not in w]
+        self.memo[""] = b""
+        words = [w for w in words if w and "<|" not in w]
         groups = [words[at : at + 100] for at in range(0, len(words), 100)]
         for at in range(0, len(groups), 100):
             some = groups[at : at + 100]
@@ -103,30 +108,42 @@ class WordTokens:
         """Little-endian unsigned 32-bit ids of each text, without special tokens."""
         memo, get = self.memo, self.memo.get
         out: list = []
-        holes: list[tuple[int, int, str]] = []
+        later: list[tuple[int, list[str]]] = []
+        new: set[str] = set()
         for x in texts:
             # file, group, record and unit separators split Python's words but not the tokenizer's
-            if not x.isascii() and not unicodedata.is_normalized("NFC", x) or not _APART.isdisjoint(x):
-                out.append([self._whole(x)])
+            if not x.isascii() and not unicodedata.is_normalized("NFC", x) or any(c in x for c in _APART):
+                out.append(self._whole(x))
                 continue
             words = x.split()
             row = list(map(get, words))
             if None in row:
-                holes += [(len(out), k, words[k]) for k, ids in enumerate(row) if ids is None]
-            out.append(row)
-        if holes:
-            new = {w for _, _, w in holes}
+                new.update(compress(words, map(_none, row)))
+                later.append((len(out), words))
+                row = ()
+            out.append(b"".join(row))
+        if later:
             memo.room()
             old = memo.old
-            known = {w: old[w] for w in new if w in old}
+            known = {w: old[w] for w in new if w in old} if old else {}
             memo.update(known)
-            self._learn(list(new.difference(known)))
-            for i, k, w in holes:
-                out[i][k] = memo[w]
-        return [b"".join(row) for row in out]
-
-
-_APART = frozenset("\x1c\x1d\x1e\x1f")
+            new.difference_update(known)
+            # letters and the marks behind them are tokens of their own, and case makes no difference
+            parts = [(w, m[1].lower(), m[2]) for w in new if (m := _PLAIN(w))]
+            new.difference_update([w for w, _, _ in parts])
+            for _, a, b in parts:
+                new.add(a)
+                new.add(b)
+            self._learn([w for w in new if w not in memo])
+            memo.update([(w, memo[a] + memo[b]) for w, a, b in parts])
+            for i, words in later:
+                out[i] = b"".join(map(memo.__getitem__, words))
+        return out
+
+
+_none = partial(is_, None)
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'<]*)").fullmatch
+_APART = "\x1c\x1d\x1e\x1f"
 _TOKENS: dict[str, WordTokens] = {}
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
