@@ -108,7 +108,7 @@ class WordTokens:
         """Little-endian unsigned 32-bit ids of each text, without special tokens."""
         memo, get = self.memo, self.memo.get
         out: list = []
-        later: list[tuple[int, list[str]]] = []
+        later: list[tuple[int, list, list[int], list[str]]] = []
         new: set[str] = set()
         for x in texts:
             # file, group, record and unit separators split Python's words but not the tokenizer's
@@ -118,8 +118,10 @@ class WordTokens:
             words = x.split()
             row = list(map(get, words))
             if None in row:
-                new.update(compress(words, map(_none, row)))
-                later.append((len(out), words))
+                gaps = list(compress(range(len(row)), map(_none, row)))
+                missing = [words[k] for k in gaps]
+                new.update(missing)
+                later.append((len(out), row, gaps, missing))
                 row = ()
             out.append(b"".join(row))
         if later:
@@ -136,8 +138,10 @@ class WordTokens:
                 new.add(b)
             self._learn([w for w in new if w not in memo])
             memo.update([(w, memo[a] + memo[b]) for w, a, b in parts])
-            for i, words in later:
-                out[i] = b"".join(map(memo.__getitem__, words))
+            for i, row, gaps, missing in later:
+                for k, w in zip(gaps, missing, strict=True):
+                    row[k] = memo[w]
+                out[i] = b"".join(row)
         return out
 
 
@@ -157,9 +161,9 @@ def pieces(docs: DataFrame, vocab: str, limit: int = LIMIT, end: int = 1) -> Dat
         tok = _TOKENS.setdefault(vocab, WordTokens(vocab))
         for df in frames:
             ids, texts = df["doc_id"].tolist(), df["text"].tolist()
-            for at in range(0, len(ids), 256):
+            for at in range(0, len(ids), 1024):
                 rows = []
-                for doc, raw in zip(ids[at : at + 256], tok.packed(texts[at : at + 256]), strict=True):
+                for doc, raw in zip(ids[at : at + 1024], tok.packed(texts[at : at + 1024]), strict=True):
                     raw += tail
                     for k in range(0, len(raw) // 4, limit):
                         part = raw[4 * k : 4 * (k + limit)]
