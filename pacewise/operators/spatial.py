@@ -30,7 +30,6 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1, start: float = 500.
     Bins double until each point has k sites no farther than the bin is wide (which no site outside its ring can beat)
     or its ring holds all sites. ``apart`` leaves out the site with the point's own id.
     """
-    spark = points.sparkSession
     keys = ["pid", *by]
     total = sites.groupBy(*by).count().withColumnRenamed("count", "_all") if by else None
     n_all = None if by else sites.count()
@@ -54,7 +53,6 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1, start: float = 500.
         if not left.head(1):
             break
         size *= 2
-    del spark
     return out
 
 

@@ -1 +1,4 @@
+"""Registered queries."""
 
+from . import access, groups, space  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
