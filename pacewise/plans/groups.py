@@ -359,3 +359,90 @@ def _(spark, sf):
 
     return rand_index(cross, ["k", "sa", "sb"]).groupBy("k").agg(F.avg("ari").alias("ari"))
 
+
+
+def rook_pairs(spark, sf):
+    p = spatial.rook(t.cells(spark, sf)).where("i < j").toPandas()
+    return p["i"].to_numpy(), p["j"].to_numpy()
+
+
+@query("algorithm_comparison")
+def _(spark, sf):
+    """Outcome and region sizes of each algorithm on a block of cells."""
+    from ..operators.regional import compare
+
+    x, pairs = block(spark, sf)
+    found = compare(spark, x, pairs, rook_pairs(spark, sf), 3)
+    return found.select("algorithm", "status", "message", F.size(F.array_distinct("labels")).alias("k"))
+
+
+@query("redcap")
+def _(spark, sf):
+    from ..operators.regional import agglomerate
+
+    x, _ = block(spark, sf)
+    i, j = rook_pairs(spark, sf)
+    return spark.createDataFrame([(n, int(v)) for n, v in enumerate(agglomerate(x, i, j, 4).tolist())], "id long, label int")
+
+
+@query("skater")
+def _(spark, sf):
+    from ..operators.regional import cut_tree
+
+    x, _ = block(spark, sf)
+    i, j = rook_pairs(spark, sf)
+    return spark.createDataFrame([(n, int(v)) for n, v in enumerate(cut_tree(x, i, j, 4).tolist())], "id long, label int")
+
+
+DESC = LABELS + """, same as (select i, j from rook join lab a on a.id = i join lab b on b.id = j where a.label = b.label),
+comp(id, c) using key (id) as (select id, id from lab union select s.j, min(p.c) from comp p join same s on s.i = p.id left join recurring.comp o on o.id = s.j where p.c < o.c group by s.j),
+bx as (select lab.id, lab.label, comp.c as block, density x1, hazard / 3.0::double x2 from lab join comp using (id) join cell using (id)),
+bc as (select block, count(*) n, avg(x1) c1, avg(x2) c2 from bx group by block)"""
+
+
+def block_rows(spark, sf):
+    c = t.cells(spark, sf)
+    return c.select("id", F.expr("cast((col div 3 + row div 4) % 4 as int)").alias("label"), F.array("density", (F.col("hazard") / 3.0)).alias("x")), blocks(spark, sf)
+
+
+@query("desc_pesc", f"select label, block, n, {r('avg(sqrt(pow(x1 - c1, 2) + pow(x2 - c2, 2))) as dbar')} from bx join bc using (block) where n > 1 group by all", DESC)
+def _(spark, sf):
+    x, b = block_rows(spark, sf)
+    return validity.desc_contribution(x, b)
+
+
+@query("desc_n_pesc_n", f"""select label, {r('sum(q * q) as contiguity', 'sum(q * hom) as homogeneity')}, count(*) n_blocks from (select label, block, n, n / sum(n) over (partition by label)::double q, hom from (select label, block, n, avg(1 / (1 + pow(sqrt(pow(x1 - c1, 2) + pow(x2 - c2, 2)) / s, 2))) hom from bx join bc using (block), (select avg(sqrt(pow(x1 - g1, 2) + pow(x2 - g2, 2))) s from bx, (select avg(x1) g1, avg(x2) g2 from bx)) group by all)) group by label""", DESC)
+def _(spark, sf):
+    x, b = block_rows(spark, sf)
+    return validity.pesc_blocks(x, b)
+
+
+@query("degenerate_flag", f"select {r('100 * max(p) as largest_pct')}, 100 * max(p) > 90 degenerate from (select count(*)::double / sum(count(*)) over () p from cell group by hazard)")
+def _(spark, sf):
+    return validity.size_entropy(t.cells(spark, sf).select("id", F.col("hazard").alias("label"))).select("largest_pct", "degenerate")
+
+
+@query("k_robustness", f"""select a.level, {r('100.0 * count_if(a.s4 < 3 and b.s4 = 3) / nullif(count_if(a.s4 < 3), 0) as turun4', '100.0 * count_if(a.s2 < 1 and b.s2 = 1) / nullif(count_if(a.s2 < 1), 0) as turun2')} from (select f.id, l.level, f.label s4, f.label // 2 s2 from frame f, level l where f.level = 'baseline' and l.ord > 0) a join (select id, level, (label + 1) % 4 s4, ((label + 1) % 4) // 2 s2 from frame where tergenang = 0) b on a.id = b.id and a.level = b.level group by a.level""", TIMES)
+def _(spark, sf):
+    """Shares of cells that fall into the worst type, for four and for two types."""
+    f = frame(spark, sf)
+    a = f.where("level = 'baseline'").select("id", F.col("label").alias("a4"))
+    b = f.where("level <> 'baseline' and tergenang = 0").select("id", "level", ((F.col("label") + 1) % 4).alias("b4"))
+    j = a.join(b, "id").withColumn("a2", F.expr("a4 div 2")).withColumn("b2", F.expr("b4 div 2"))
+    share = lambda k, p: F.try_divide(100.0 * F.count_if((F.col(f"a{p}") < k) & (F.col(f"b{p}") == k)), F.count_if(F.col(f"a{p}") < k))
+    return j.groupBy("level").agg(share(3, 4).alias("turun4"), share(1, 2).alias("turun2"))
+
+
+@query("simulate_cut")
+def _(spark, sf):
+    """What-if: network access at one level with some roads cut, as access classes."""
+    from ..operators import access, graph, hazard
+    from .access import views
+
+    c, lv, wet, status = views(spark, sf)
+    lv = lv.where("level in ('baseline', 'rendah')")
+    open_ = hazard.road_status(t.roads(spark, sf), lv).where("not is_closed and id % 97 <> 0").select("level", F.col("id").alias("eid"), "x1", "y1", "x2", "y2")
+    times = graph.network_times(c, status.join(F.broadcast(lv.select("level")), "level"), open_).persist()
+    f = access.frame(c, wet, times, lv, access.t_max(times))
+    rows = f.select("id", "level", access.access_class(F.col("wmin"), F.col("tergenang"), F.col("t_pen")).alias("kelas"))
+    return access.class_counts(rows, ["level"], "kelas", 4)
