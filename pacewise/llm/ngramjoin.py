@@ -27,9 +27,9 @@ ROWS, BANDS = 6, 24
 #: A link of a bucket is dropped if fewer than this part of all MinHash values agree: five standard deviations below 0.8.
 SURELY_LESS = 0.62
 #: Texts of a block, and n-grams of one at most (a block of one text may have more).
-BLOCK, BLOCK_GRAMS = 256, 1_000_000
+BLOCK, BLOCK_GRAMS = 64, 250_000
 #: Blocks of a side of a task that compares blocks.
-SIDE = 4
+SIDE = 16
 
 _PERM: dict = {}
 
@@ -117,6 +117,11 @@ class _Block:
         return cls(ints[:n], ints[n : 2 * n], ints[2 * n : 3 * n], ints[3 * n :].view(np.uint64)[at])
 
 
+    @classmethod
+    def joined(cls, parts: list[_Block]) -> _Block:
+        return cls(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("reps", "weights", "sizes", "grams")))
+
+
 def _compare(x: _Block, y: _Block | None, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Indices (i of x, j of y) of the pairs with a Jaccard similarity of ``least`` or more; pairs i < j of x if y is None."""
     z = x if y is None else y
@@ -193,6 +198,8 @@ _FOUND = "rep bigint, links bigint, root bigint, grp bigint, blk int, blocks int
 def _verify(sets: DataFrame, least: float) -> DataFrame:
     """Rows (rep, links, root): links of each text within and between blocks of its group. ``sets`` has grp, blk, blocks, rep, copies and text."""
 
+    per_side = SIDE
+
     def found(block: _Block, links: np.ndarray, roots: np.ndarray) -> pd.DataFrame:
         some = links > 0
         return pd.DataFrame({"rep": block.reps[some], "links": links[some], "root": roots[some]})
@@ -215,26 +222,29 @@ def _verify(sets: DataFrame, least: float) -> DataFrame:
         return out.astype({"rep": "Int64", "root": "Int64", "links": "Int64", "blk": "int32", "blocks": "int32"})
 
     def between(key, df: pd.DataFrame) -> pd.DataFrame:
-        blocks = {b: _Block.unpacked(p) for b, p in zip(df["blk"], df["packed"], strict=True)}
-        left, right = ([b for b in sorted(blocks) if b // SIDE == s] for s in key[1:])
-        names = sorted({*left, *right})
-        start = dict(zip(names, np.cumsum([0, *(len(blocks[b].reps) for b in names)]).tolist(), strict=False))
-        ids = np.concatenate([blocks[b].reps for b in names])
-        links, forest = np.zeros(len(ids)), _Forest(ids)
-        for p in left:
-            for q in right:
-                if p < q:
-                    x, y = blocks[p], blocks[q]
-                    i, j = _compare(x, y, least)
-                    links[start[p] : start[p] + len(x.reps)] += np.bincount(i, y.weights[j], len(x.reps))
-                    links[start[q] : start[q] + len(y.reps)] += np.bincount(j, x.weights[i], len(y.reps))
-                    # each text needs one link to each tree that is there already
-                    forest.join(start[p] + i, start[q] + j)
+        df = df.sort_values("blk")
+        parts = [_Block.unpacked(p) for p in df["packed"]]
+        side = (df["blk"] // per_side).tolist()
+        left = _Block.joined([p for p, s in zip(parts, side, strict=True) if s == key[1]])
+        if key[1] == key[2]:
+            own = np.repeat(np.arange(len(parts)), [len(p.reps) for p in parts])
+            i, j = _compare(left, None, least)
+            other = own[i] != own[j]  # pairs inside a block are counted already
+            i, j, both = i[other], j[other], left
+        else:
+            right = _Block.joined([p for p, s in zip(parts, side, strict=True) if s == key[2]])
+            i, j = _compare(left, right, least)
+            both = _Block.joined([left, right])
+            j = j + len(left.reps)
+        ids = both.reps
+        links = np.bincount(i, both.weights[j], len(ids)) + np.bincount(j, both.weights[i], len(ids))
+        forest = _Forest(ids)
+        forest.join(i, j)
         some = links > 0
         return pd.DataFrame({"rep": ids[some], "links": links[some].astype(np.int64), "root": forest.roots()[some]})
 
     first = written(sets.groupBy("grp", "blk", "blocks").applyInPandas(within, _FOUND), "ngram-within")
-    large = first.where("packed is not null").withColumn("sides", F.floor((F.col("blocks") + SIDE - 1) / SIDE).cast("int")).withColumn("side", F.floor(F.col("blk") / SIDE).cast("int"))
+    large = first.where("packed is not null").withColumn("sides", F.floor((F.col("blocks") + per_side - 1) / per_side).cast("int")).withColumn("side", F.floor(F.col("blk") / per_side).cast("int"))
     pairs = large.select("grp", "blk", "packed", "side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
     pairs = pairs.select("grp", "blk", "packed", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
     second = pairs.groupBy("grp", "lo", "hi").applyInPandas(between, "rep bigint, links bigint, root bigint")

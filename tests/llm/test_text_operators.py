@@ -111,6 +111,7 @@ def test_ngram_join(spark, monkeypatch):
         texts.append(" ".join(v))
     texts += [" ".join(base)] * 5 + [" ".join(base[60:] + [f"q{i}" for i in range(60)])]
     monkeypatch.setattr(ngramjoin, "BLOCK", 4)
+    monkeypatch.setattr(ngramjoin, "SIDE", 2)
     df = frame(spark, texts, extra=True)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngramjoin.classes(df).collect()}
     assert got == brute_links(dict(enumerate(texts)))
