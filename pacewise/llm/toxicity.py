@@ -175,16 +175,18 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Lexicon, trees and calibration; small enough to go to the executors with the task."""
 
-    def __init__(self, lexicon: dict[str, float], trees: Trees, knots: np.ndarray, values: np.ndarray):
-        self.lexicon, self.trees, self.knots, self.values = lexicon, trees, knots, values
+    def __init__(self, lexicon: dict[str, float], trees: Trees, knots: np.ndarray, values: np.ndarray, prior: float):
+        self.lexicon, self.trees, self.knots, self.values, self.prior = lexicon, trees, knots, values, prior
 
     def scores(self, texts: list[str]) -> np.ndarray:
         x = np.array([features(t or "", self.lexicon) for t in texts]).reshape(len(texts), len(NAMES))
         m = self.trees.margin(x)
-        if not len(self.knots):
-            return 1 / (1 + np.exp(-m))
-        # isotonic steps, with a trace of the margin so that ties keep their order
-        return np.clip(0.98 * np.interp(m, self.knots, self.values) + 0.02 / (1 + np.exp(-m)), 0.0, 1.0)
+        out = 1 / (1 + np.exp(-m))
+        if len(self.knots):
+            # isotonic steps, with a trace of the margin so that ties keep their order
+            out = np.clip(0.98 * np.interp(m, self.knots, self.values) + 0.02 * out, 0.0, 1.0)
+        # a text without words tells nothing: it has the share of toxic labels
+        return np.where(x[:, 0] > 0, out, self.prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_terms: int = MOST_TERMS) -> Model:
@@ -196,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ter
     spark: SparkSession = docs.sparkSession
     ship(spark)
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(remainder(FOLDS) != HELD_OUT)
+    share = marks.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     chosen = [marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for y in (0, 1)]
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 x most_rows small rows
     sample = written(sample.repartition(8, "doc_id"), "toxicity-sample")
@@ -234,11 +237,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ter
     y = rows["toxic"].to_numpy(dtype=float)
     part = np.arange(len(y)) % 3 == 0
     if len(y) < 30 or y.min() == y.max():
-        return Model(lexicon, Trees(rounds=30).fit(x, y), np.zeros(0), np.zeros(0))
+        return Model(lexicon, Trees(rounds=30).fit(x, y), np.zeros(0), np.zeros(0), share)
     # calibrate on rows that the trees of the calibration run haven't seen, then fit the trees on all of them
     inner = Trees().fit(x[~part], y[~part])
     knots, values = isotonic(inner.margin(x[part]), y[part])
-    return Model(lexicon, Trees().fit(x, y), knots, values)
+    return Model(lexicon, Trees().fit(x, y), knots, values, share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
