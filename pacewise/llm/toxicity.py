@@ -89,7 +89,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     return [
         math.log1p(len(words)), float(len(where)), sum(bool(a) for a in weights) / n, sum(weights), max(weights, default=0.0), float(len(kinds)),
         float(prefix_n), prefix_n / n, prefix_w, prefix_peak, float(near), you / n, upper / chars, caps / n, marks["!"] / chars, marks["?"] / chars,
-        sum(marks[c] for c in "#$%&*") / chars, len(odd) / n, float(odd_hit), float(len(spaced)), float(spaced_hit), len(_LONG.findall(low)) / n if chars < 1_000_000 else 0.0,
+        sum(marks[c] for c in "#$%&*") / chars, len(odd) / n, float(odd_hit), float(len(spaced)), float(spaced_hit), len(_LONG.findall(low)) / n,
         sum(map(low.count, "0123456789")) / chars, sum(map(len, words)) / n,
     ]
 
