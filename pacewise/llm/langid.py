@@ -23,6 +23,8 @@ MOST_ROWS = 4_000
 CENTROIDS = 4
 FOLDS = 3
 HELD_OUT = 1
+#: N-grams from which a text's cosine is taken as it is. Fewer can't come as close to a centroid, with about the root of their number.
+ENOUGH = 800
 #: A text is rejected below this part of the least cosine that hardly any training text (one in a thousand) goes under.
 REJECT = 0.6
 UNKNOWN = "und"
@@ -83,6 +85,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(size > 0, size, 1)
 
 
+def _reach(raw: np.ndarray) -> np.ndarray:
+    """How close texts with so many n-grams can come to a centroid, against long ones."""
+    return np.sqrt(np.clip(raw.sum(axis=1) / ENOUGH, 1 / ENOUGH, 1.0))
+
+
 class Model:
     """Inverse document frequencies, centroids with their languages, and the cosine below which a text is rejected."""
 
@@ -93,7 +100,7 @@ class Model:
         return _unit(np.log1p(raw) * self.idf)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and nearest cosine of each text. The score is the chosen language's share of the closeness."""
+        """Language, score and nearest cosine of each text, the last made up for shortness. The score is the chosen language's share of the closeness."""
         langs, scores, cosines = [], [], []
         for at in range(0, len(texts), 512):
             some = [x or "" for x in texts[at : at + 512]]
@@ -103,14 +110,15 @@ class Model:
                 scores += [0.0] * len(some)
                 cosines += [0.0] * len(some)
                 continue
-            cos = self.vectors(counts(some)) @ self.centroids.T
+            raw = counts(some)
+            cos = self.vectors(raw) @ self.centroids.T
             best = np.stack([cos[:, self.owner == k].max(axis=1) for k in range(len(self.langs))], axis=1)
             close = np.exp(20 * (best - best.max(axis=1, keepdims=True)))
             share = close.max(axis=1) / close.sum(axis=1)
             pick = best.argmax(axis=1)
             langs += [self.langs[p] if k else UNKNOWN for p, k in zip(pick, known, strict=True)]
             scores += np.where(known, share, 0.0).astype(float).tolist()
-            cosines += np.where(known, best.max(axis=1), 0.0).astype(float).tolist()
+            cosines += np.where(known, best.max(axis=1) / _reach(raw), 0.0).astype(float).tolist()
         return langs, np.array(scores), np.array(cosines)
 
 
@@ -165,7 +173,7 @@ def fit(docs: DataFrame, most_rows: int = MOST_ROWS, centroids: int = CENTROIDS)
     parts = [_cluster(x[lang == k], centroids) for k in langs]
     owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
     centers = np.concatenate(parts).astype(np.float32)
-    least = REJECT * float(np.quantile((x @ centers.T).max(axis=1), 0.001))
+    least = REJECT * float(np.quantile((x @ centers.T).max(axis=1) / _reach(raw), 0.001))
     return Model(langs, idf, centers, owner, least)
 
 
