@@ -17,27 +17,37 @@ def yeo_johnson(x: Column, lam: float) -> Column:
 
 def plain_name(name: Column) -> Column:
     """Administrative name without its kind, in lower case with single blanks."""
-    short = F.regexp_replace(F.lower(F.trim(name)), r"^(kelurahan|desa|kalurahan|kecamatan|kapanewon|kabupaten)\s+", "")
+    short = F.regexp_replace(F.lower(F.trim(name)), r"^(kelurahan|kalurahan|desa)\s+", "")
     return F.trim(F.regexp_replace(short, r"\s+", " "))
 
 
-# Cause codes in the order in which they are looked for, with the words that stand for each.
-KEYWORDS = {"I": ["snapping", "cek"], "F": ["banjir", "genang"], "A": ["sungai", "jembatan"], "B": ["rel", "tol"], "C": ["bukit", "lereng"], "D": ["buntu"], "H": ["pagar", "tembok"], "E": ["data"]}
-VALID = {**dict.fromkeys("ABCDG", "Y"), **dict.fromkeys("EFH", "T"), "I": "cek"}
+# Cause codes in the order in which they are looked for. A code holds if each group has a word in the text.
+KEYWORDS = {
+    "I": [["pasti ada kesalahan"]],
+    "F": [["snapping"]],
+    "A": [["sungai", "waduk"], ["jembatan"]],
+    "B": [["bandara"], ["memang"]],
+    "C": [["perbukitan", "lembah", "kontur"]],
+    "D": [["pesisir"]],
+    "H": [["terscraping"]],
+    "E": [["osm", "google"]],
+}
+# What each code says of a place.
+VALID = {"A": "Y", "B": "Y", "C": "Y", "D": "Y", "E": "T", "F": "T", "G": "Y", "H": "T", "I": "cek"}
 
 
-def keyword_codes(text: Column, words: dict[str, list[str]] = KEYWORDS) -> Column:
+def keyword_codes(text: Column, words: dict[str, list[list[str]]] = KEYWORDS) -> Column:
     """Codes whose words occur in the text, in the order of ``words``."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    found = [F.when(F.greatest(*[low.contains(w) for w in ws], F.lit(False)), F.lit(code)) for code, ws in words.items()]
-    return F.filter(F.array(*found), lambda c: c.isNotNull())
+    holds = lambda groups: F.least(F.lit(True), *[F.greatest(F.lit(False), *[low.contains(w) for w in g]) for g in groups])
+    return F.filter(F.array(*[F.when(holds(g), F.lit(code)) for code, g in words.items()]), lambda c: c.isNotNull())
 
 
 def validity(code: Column) -> Column:
-    """Y, T or cek for the first letter of a code; null for others."""
+    """Y, T or cek for a code: a letter by itself or before a blank, hyphen or point; null for others."""
     letter = F.upper(F.substring(F.trim(code), 1, 1))
     known = F.create_map(*[F.lit(x) for kv in VALID.items() for x in kv])
-    return F.when(letter.rlike("^[A-I]$"), F.try_element_at(known, letter))
+    return F.when(F.trim(code).rlike(r"^[A-Ia-i]([ \-.]|$)"), F.try_element_at(known, letter))
 
 
 def class_of(value: Column, edges: Column) -> Column:

@@ -281,7 +281,7 @@ def _(spark, sf):
     return t.table(spark, sf, "customer").select("c_custkey", scalars.yeo_johnson(v, 0.5).alias("a"), scalars.yeo_johnson(v, 0).alias("b"), scalars.yeo_johnson(v, 2).alias("c"))
 
 
-@query("normalise_name", "select p_partkey, trim(regexp_replace(regexp_replace(lower(trim('Kelurahan  ' || p_name)), '^(kelurahan|desa|kalurahan|kecamatan|kapanewon|kabupaten)\\s+', ''), '\\s+', ' ', 'g')) nama from part")
+@query("normalise_name", "select p_partkey, trim(regexp_replace(regexp_replace(lower(trim('Kelurahan  ' || p_name)), '^(kelurahan|kalurahan|desa)\\s+', ''), '\\s+', ' ', 'g')) nama from part")
 def _(spark, sf):
     return t.table(spark, sf, "part").select("p_partkey", scalars.plain_name(F.concat(F.lit("Kelurahan  "), "p_name")).alias("nama"))
 
@@ -293,16 +293,20 @@ def _(spark, sf):
     return c.join(F.broadcast(q), how="cross").select("id", scalars.class_of(F.col("density"), F.col("q")).cast("bigint").alias("kelas"))
 
 
-@query("validity_code", "select kode, case when kode in ('A', 'B', 'C', 'D', 'G') then 'Y' when kode in ('E', 'F', 'H') then 'T' when kode = 'I' then 'cek' end valid, count(*) n from (select upper(substr(trim(p_type), 1, 1)) kode from part) group by all")
+@query("validity_code", "select kode, case when kode[2] = 'x' then null when kode[1] in ('A', 'B', 'C', 'D', 'G') then 'Y' when kode[1] in ('E', 'F', 'H') then 'T' when kode[1] = 'I' then 'cek' end valid, count(*) n from (select chr(cast(65 + p_partkey % 11 as int)) || case when p_partkey % 3 = 0 then '' when p_partkey % 3 = 1 then ' Sungai' else 'x' end kode from part) group by all")
 def _(spark, sf):
-    k = t.table(spark, sf, "part").select(F.upper(F.substring(F.trim("p_type"), 1, 1)).alias("kode"), scalars.validity(F.col("p_type")).alias("valid"))
-    return k.groupBy("kode", "valid").agg(F.count("*").alias("n"))
+    tail = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, " Sungai").otherwise("x")
+    k = t.table(spark, sf, "part").select(F.concat(F.char(65 + F.col("p_partkey") % 11), tail).alias("kode"))
+    return k.groupBy("kode", scalars.validity(F.col("kode")).alias("valid")).agg(F.count("*").alias("n"))
 
 
-@query("keyword_codes", "select p_partkey, array_to_string(list_filter([case when contains(lower(p_name), 'a') then 'I' end, case when contains(lower(p_name), 'b') or contains(lower(p_name), 'z') then 'F' end], lambda x: x is not null), ',') kode from part")
+@query("keyword_codes", """select p_partkey, array_to_string(list_filter([case when contains(x, 'pasti ada kesalahan') then 'I' end, case when contains(x, 'snapping') then 'F' end, case when (contains(x, 'sungai') or contains(x, 'waduk')) and contains(x, 'jembatan') then 'A' end, case when contains(x, 'bandara') and contains(x, 'memang') then 'B' end,
+  case when contains(x, 'perbukitan') or contains(x, 'lembah') or contains(x, 'kontur') then 'C' end, case when contains(x, 'pesisir') then 'D' end, case when contains(x, 'terscraping') then 'H' end, case when contains(x, 'osm') or contains(x, 'google') then 'E' end], lambda v: v is not null), ',') kode
+  from (select p_partkey, ['sungai', 'lembah', 'data osm', 'snapping', 'bandara'][p_partkey % 5 + 1] || ' ' || ['jembatan', 'memang', 'pesisir', 'pasti ada kesalahan'][p_partkey % 4 + 1] x from part)""")
 def _(spark, sf):
-    codes = scalars.keyword_codes(F.col("p_name"), {"I": ["a"], "F": ["b", "z"]})
-    return t.table(spark, sf, "part").select("p_partkey", F.array_join(codes, ",").alias("kode"))
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % len(words) + 1).cast("int"))
+    text = F.concat_ws(" ", F.initcap(pick(["sungai", "lembah", "data osm", "snapping", "bandara"])), pick(["jembatan", "memang", "pesisir", "pasti ada kesalahan"]))
+    return t.table(spark, sf, "part").select("p_partkey", F.array_join(scalars.keyword_codes(text), ",").alias("kode"))
 
 
 @query("utm_roundtrip")

@@ -180,9 +180,9 @@ def test_preprocessing(spark):
 
 
 def test_scalars(spark):
-    df = spark.createDataFrame([("Kelurahan  Wates ", "a snapping error", "e1")], "n string, t string, k string")
+    df = spark.createDataFrame([("Kelurahan  Wates ", "a Snapping error at the sungai", "e - x")], "n string, t string, k string")
     r = df.select(scalars.plain_name(F.col("n")).alias("n"), scalars.keyword_codes(F.col("t")).alias("c"), scalars.validity(F.col("k")).alias("v"), scalars.slug(F.lit("Tabel 1: (a) b")).alias("s"), scalars.local_number(F.lit(12345.678), 2).alias("x")).first()
-    assert (r["n"], r["c"], r["v"], r["s"], r["x"]) == ("wates", ["I"], "T", "Tabel_1_a_b", "12.345,68")
+    assert (r["n"], r["c"], r["v"], r["s"], r["x"]) == ("wates", ["F"], "T", "Tabel_1_a_b", "12.345,68")
     x, y = scalars.utm(F.lit(110.0), F.lit(-7.8))
     lon, lat = scalars.utm_inverse(x, y)
     r = df.select(x.alias("x"), y.alias("y"), lon.alias("lon"), lat.alias("lat")).first()
