@@ -96,8 +96,8 @@ def profile(rows: DataFrame, labels: int) -> DataFrame:
 def class_counts(rows: DataFrame, by: list[str], col: str, classes: int) -> DataFrame:
     """n and pct of every class of ``col``, those without rows too."""
     dim = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias(col))
-    groups = rows.select(*by).distinct().join(F.broadcast(dim), how="cross")
-    got = rows.groupBy(*by, col).agg(F.count("*").alias("n"))
+    got = rows.groupBy(*by, col).agg(F.count("*").alias("n")).persist()  # a few rows, read twice
+    groups = got.select(*by).distinct().join(F.broadcast(dim), how="cross")
     out = groups.join(got, [*by, col], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
@@ -111,6 +111,7 @@ def state_distribution(rows: DataFrame, k: int) -> DataFrame:
 
 def transitions(rows: DataFrame, k: int, base: str = "baseline") -> DataFrame:
     """level, a, b, n: how many cells are in state a at the base level and b at each other level, zeros too."""
+    rows = rows.select("id", "level", "state").persist()
     a = rows.where(F.col("level") == base).select("id", F.col("state").alias("a"))
     b = rows.where(F.col("level") != base).select("id", "level", F.col("state").alias("b"))
     got = a.join(b, "id").groupBy("level", "a", "b").agg(F.count("*").alias("n"))
@@ -121,6 +122,7 @@ def transitions(rows: DataFrame, k: int, base: str = "baseline") -> DataFrame:
 
 def transition_summary(matrix: DataFrame, k: int) -> DataFrame:
     """Flows into and out of the flood, stability and the commonest change among cells that stay dry, adjusted Rand index, CDVM."""
+    matrix = matrix.persist()  # states squared for each level, read several times
     dry = (F.col("a") < k) & (F.col("b") < k)
     off = F.when(dry & (F.col("a") != F.col("b")) & (F.col("n") > 0), F.struct(F.col("n").alias("n"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b")))
     s = matrix.groupBy("level").agg(
