@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def closure_counts(events: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Events (ts, event_type, value) by window and type: n and mean value; events later than the watermark are left out."""
     return (
-        events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+        events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
         .select(F.col("w.start").alias("start"), "event_type", "n", "mean")
     )
 
