@@ -259,7 +259,8 @@ def _reference(pages: DataFrame) -> DataFrame:
             if len(best) > 20_000:
                 yield pd.DataFrame({"host": list(best), "ref": list(best.values())})
                 best.clear()
-        yield pd.DataFrame({"host": list(best), "ref": list(best.values())})
+        if best:  # a task may have no rows, and a frame of none has no types
+            yield pd.DataFrame({"host": list(best), "ref": list(best.values())})
 
     some = pages.where("host is not null and html is not null and html <> ''").select("host", "html").mapInPandas(shortest, "host string, ref string")
     return some.groupBy("host").agg(F.min_by("ref", F.struct(F.length("ref"), "ref")).alias("ref"))
@@ -304,7 +305,8 @@ def templates(pages: DataFrame, refs: DataFrame) -> DataFrame:
             if len(seen) > 50_000:
                 yield out()
                 seen.clear()
-        yield out()
+        if seen:
+            yield out()
 
     counted = pages.where("html is not null").select("host", "html").join(refs, "host").mapInPandas(compare, "host string, node int, pages long, same long")
     sums = counted.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
