@@ -2,15 +2,18 @@
 
 The pages of a host are aligned with a reference page of it by simple tree matching. Nodes whose text is the same on
 nearly all of the aligned pages are the host's template; the rest are slots that vary, and hold the content. What is
-named as a menu, notice, form and so on is never content; an article or main element bounds it where there is one.
+named as a menu, notice, form and so on is never content; an article or main element bounds it where there is one, and
+what is template in it goes as well.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ from .common import ship, written
 
 #: Aligned pages (other than copies of the reference) that a template needs, and the part of them with the same text.
 LEAST_PAGES, SAME_SHARE = 3, 0.9
+#: Aligned pages that a template inside an article or main element needs: on a few pages a constant line may be content.
+LEAST_PAGES_INSIDE = 10
 #: Reference pages and templates that are broadcast at most, in bytes; more are joined by shuffle.
 BROADCAST_BYTES = 32_000_000
 
@@ -43,10 +48,10 @@ _PART = re.compile(r"[\s_\-:]+|(?<=[a-z])(?=[A-Z])")
 class Node:
     """Element with its children (nodes and strings)."""
 
-    __slots__ = ("attrs", "children", "tag", "template")
+    __slots__ = ("attrs", "children", "kind", "say", "size", "tag", "template")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children, self.template = tag, attrs, [], False
+        self.tag, self.attrs, self.children, self.template, self.kind = tag, attrs, [], False, None
 
     def named(self) -> bool:
         """Whether attributes say that this isn't content."""
@@ -128,63 +133,112 @@ def parse(text: str) -> Node:
 
 
 def _kids(node: Node) -> list[Node]:
-    """Child elements that alignment looks at: slots have none, for nothing in them is template."""
-    return [] if node.tag in SLOT else [c for c in node.children if not isinstance(c, str)]
+    return [c for c in node.children if not isinstance(c, str)]
+
+
+def _sign(root: Node) -> Node:
+    """Give every node its kind (a hash of the tags below it), its size in nodes and the text below it, for comparison."""
+    flat: list[str] = []
+    at = 0
+    order: list[tuple[Node, int]] = []
+    todo: list = [(root, -1)]
+    while todo:
+        n, begin = todo.pop()
+        if isinstance(n, str):
+            flat.append(n)
+            at += len(n)
+        elif begin < 0:
+            todo.append((n, at))
+            todo += [(c, -1) for c in reversed(n.children)]
+        else:
+            kids = _kids(n)
+            n.kind = hash((n.tag, *(c.kind for c in kids)))
+            n.size = 1 + sum(c.size for c in kids)
+            order.append((n, begin))
+            n.say = at
+    text = "".join(flat)
+    for n, begin in order:
+        n.say = hash(t) if (t := " ".join(text[begin : n.say].split())) else 0
+    return root
+
+
+#: Weights of pairs of kinds; only a cache.
+_WEIGHTS: dict[tuple[int, int], int] = {}
+
+
+def _weight(x: Node, y: Node) -> int:
+    """Pairs in a largest mapping between two trees."""
+    if x.tag != y.tag:
+        return 0
+    if x.kind == y.kind:
+        return x.size
+    key = (x.kind, y.kind)
+    got = _WEIGHTS.get(key)
+    if got is None:
+        got = 1 + _align(_kids(x), _kids(y), False)[0]
+        if len(_WEIGHTS) > 200_000:
+            _WEIGHTS.clear()
+        _WEIGHTS[key] = got
+    return got
+
+
+def _align(p: list[Node], q: list[Node], told: bool) -> tuple[int, list]:
+    """Weight and, with ``told``, pairs of the best order-keeping mapping between siblings; of equal weights the one with most equal texts."""
+    m, n, head = len(p), len(q), 0
+    same = (lambda x, y: x.kind == y.kind and x.say == y.say) if told else (lambda x, y: x.kind == y.kind)
+    # equal nodes at either end belong together in some best mapping
+    while head < m and head < n and same(p[head], q[head]):
+        head += 1
+    while m > head and n > head and same(p[m - 1], q[n - 1]):
+        m, n = m - 1, n - 1
+    pairs = [*zip(p[:head], q[:head], strict=True), *zip(p[m:], q[n:], strict=True)] if told else []
+    weight = sum(x.size for x in p[:head]) + sum(x.size for x in p[m:])
+    p, q = p[head:m], q[head:n]
+    if not p or not q:
+        return weight, pairs
+    scale = min(len(p), len(q)) + 1 if told else 1
+    ys = {y.kind: y for y in q}
+    at = {k: i for i, k in enumerate(ys)}
+    col = np.array([at[y.kind] for y in q])
+    say = np.array([y.say for y in q], np.int64)
+    known: dict[int, np.ndarray] = {}
+    last = np.zeros(len(q) + 1, np.int64)
+    moves = np.zeros((len(p), len(q)), np.uint8) if told else None
+    for i, x in enumerate(p):
+        if (w := known.get(x.kind)) is None:
+            w = known[x.kind] = np.array([_weight(x, y) for y in ys.values()], np.int64)[col] * scale
+        if told:
+            w = w + ((w > 0) & (say == x.say))
+        row = np.zeros_like(last)
+        np.maximum.accumulate(np.maximum(last[1:], np.where(w > 0, last[:-1] + w, 0)), out=row[1:])
+        if told:
+            moves[i] = np.where(row[1:] == last[1:], 0, np.where(row[1:] == row[:-1], 1, 2))
+        last = row
+    i, j = len(p), len(q)
+    while told and i and j:
+        move = moves[i - 1, j - 1]
+        i, j = i - (move != 1), j - (move != 0)
+        if move == 2:
+            pairs.append((p[i], q[j]))
+    return weight + int(last[-1]) // scale, pairs
 
 
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: the pairs of a largest top-down, order-keeping mapping between nodes of equal tags."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def weight(x: Node, y: Node) -> int:
-        if x.tag != y.tag:
-            return 0
-        key = (id(x), id(y))
-        if key not in memo:
-            memo[key] = align(_kids(x), _kids(y))
-        return memo[key][0] + 1
-
-    def align(p: list[Node], q: list[Node]) -> tuple[int, list]:
-        head = 0
-        table = [[0] * (len(q) + 1)]
-        for x in p:
-            last, row = table[-1], [0]
-            for j, y in enumerate(q):
-                w = weight(x, y)
-                row.append(max(row[-1], last[j + 1], last[j] + w if w else 0))
-            table.append(row)
-        head, i, j, pairs = table[-1][-1], len(p), len(q), []
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((p[i], q[j]))
-        return head, pairs[::-1]
-
+    if sys.getrecursionlimit() < 50_000:
+        sys.setrecursionlimit(50_000)  # trees may be deep
+    for root in (a, b):
+        if root.kind is None:
+            _sign(root)
     out = []
-    todo = [(a, b)] if weight(a, b) else []
+    todo = [(a, b)] if a.tag == b.tag else []
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        todo += memo[(id(x), id(y))][1]
+        todo += _align(_kids(x), _kids(y), True)[1]
     return out
 
 
-def _own_text(node: Node) -> str:
-    """Text of a node and all below it, for comparison."""
-    parts, todo = [], [node]
-    while todo:
-        n = todo.pop()
-        if isinstance(n, str):
-            parts.append(n)
-        else:
-            todo += n.children[::-1]
-    return _SPACE.sub(" ", "".join(parts)).strip()
-
-
 def _numbered(root: Node) -> dict[int, int]:
     """Position of each node in page order, by identity."""
     out, todo = {}, [root]
@@ -195,6 +249,18 @@ def _numbered(root: Node) -> dict[int, int]:
     return out
 
 
+def _inside(root: Node) -> set[int]:
+    """Identities of the nodes inside article and main elements."""
+    out: set[int] = set()
+    todo = [(root, False)]
+    while todo:
+        n, inside = todo.pop()
+        if inside:
+            out.add(id(n))
+        todo += [(c, inside or n.tag in SLOT) for c in _kids(n)]
+    return out
+
+
 def _slots(root: Node) -> list[Node]:
     found, todo = [], [root]
     while todo:
@@ -272,13 +338,13 @@ class _References:
     def __init__(self):
         self.known: dict = {}
 
-    def get(self, ref: str) -> tuple[Node, dict[int, int]]:
+    def get(self, ref: str) -> tuple[Node, dict[int, int], set[int]]:
         got = self.known.get(ref)
         if got is None:
             if len(self.known) > 500:
                 self.known.clear()
             tree = parse(ref)
-            got = self.known[ref] = (tree, _numbered(tree))
+            got = self.known[ref] = (tree, _numbered(tree), _inside(tree))
         return got
 
 
@@ -287,30 +353,30 @@ def templates(pages: DataFrame, refs: DataFrame) -> DataFrame:
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _References()
-        seen: dict[tuple[str, int], list[int]] = {}
+        seen: dict[tuple[str, int, int], list[int]] = {}
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame({"host": [h for h, _ in seen], "node": [n for _, n in seen], "pages": [v[0] for v in seen.values()], "same": [v[1] for v in seen.values()]})
+            return pd.DataFrame({"host": [k[0] for k in seen], "node": [k[1] for k in seen], "need": [k[2] for k in seen], "pages": [v[0] for v in seen.values()], "same": [v[1] for v in seen.values()]})
 
         for df in frames:
             for h, text, ref in zip(df["host"], df["html"], df["ref"], strict=True):
                 if text == ref:
                     continue  # a copy says nothing about what varies
-                tree, number = cache.get(ref)
+                tree, number, inside = cache.get(ref)
                 for x, y in match(tree, parse(text)):
                     if x.tag not in SLOT:
-                        got = seen.setdefault((h, number[id(x)]), [0, 0])
+                        got = seen.setdefault((h, number[id(x)], LEAST_PAGES_INSIDE if id(x) in inside else LEAST_PAGES), [0, 0])
                         got[0] += 1
-                        got[1] += (t := _own_text(x)) != "" and t == _own_text(y)
+                        got[1] += x.say != 0 and x.say == y.say
             if len(seen) > 50_000:
                 yield out()
                 seen.clear()
         if seen:
             yield out()
 
-    counted = pages.where("html is not null").select("host", "html").join(refs, "host").mapInPandas(compare, "host string, node int, pages long, same long")
-    sums = counted.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    fixed = sums.where((F.col("pages") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("pages")))
+    counted = pages.where("html is not null").select("host", "html").join(refs, "host").mapInPandas(compare, "host string, node int, need int, pages long, same long")
+    sums = counted.groupBy("host", "node", "need").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    fixed = sums.where((F.col("pages") >= F.col("need")) & (F.col("same") >= SAME_SHARE * F.col("pages")))
     return fixed.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constants"))  # at most the nodes of one page
 
 
@@ -341,10 +407,10 @@ def extract(pages: DataFrame) -> DataFrame:
             for text, ref, constants in zip(df["html"], df["ref"], df["constants"], strict=True):
                 tree = parse(text)
                 if ref is not None:
-                    base, number = cache.get(ref)
+                    base, number, _ = cache.get(ref)
                     fixed = set(constants)
                     for x, y in match(base, tree):
-                        y.template = number[id(x)] in fixed and _own_text(x) == _own_text(y)
+                        y.template = number[id(x)] in fixed and x.say == y.say
                 # where all is template, the host's pages differ in nothing that counts
                 texts.append(render(tree) or render(tree, templates=False))
             yield pd.DataFrame({"page_id": df["page_id"].astype("Int64"), "url": df["url"], "text": texts, "n_chars": [len(t) for t in texts]})

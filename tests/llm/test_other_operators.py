@@ -92,6 +92,17 @@ def test_html(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_html_template_in_articles(spark):
+    def article(i):
+        paras = "".join(f"<p>part {k} of {i}</p>" for k in range(1 + i % 4))
+        return f"<article><div><p>By our staff</p></div><h1>Title {i}</h1>{paras}<p>Write to us every week</p></article><div><article-list>Read more here</article-list></div>"
+
+    rows = [(i, f"http://a.example/{i}", page("n", article(i))) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(12):
+        assert got[i] == "\n".join([f"Title {i}", *(f"part {k} of {i}" for k in range(1 + i % 4))])
+
+
 def test_tree_matching():
     a, b = htmltext.parse("<div><p>a</p><ul><li>x<li>y</ul></div>"), htmltext.parse("<div><h1>t</h1><p>b</p><ul><li>x</ul></div>")
     assert [x.tag for x, _ in sorted(htmltext.match(a, b), key=lambda p: p[0].tag)] == ["div", "html", "li", "p", "ul"]
