@@ -314,22 +314,30 @@ def host(url: Column) -> Column:
 
 
 def _reference(pages: DataFrame) -> DataFrame:
-    """host, ref: the shortest page of each host (of equal ones the first in text order), found within tasks before any shuffle."""
+    """host, ref: a page of each host's median length (of equal ones the shortest, then the first in text order), found within tasks before any shuffle."""
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[str, tuple[float, int, str]] = {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"host": list(best), "off": [v[0] for v in best.values()], "ref": [v[2] for v in best.values()]})
 
-    def shortest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[str, str] = {}
         for df in frames:
-            for h, t in zip(df["host"], df["html"], strict=True):
-                if (old := best.get(h)) is None or (len(t), t) < (len(old), old):
-                    best[h] = t
+            for h, t, off in zip(df["host"], df["html"], df["off"], strict=True):
+                if (old := best.get(h)) is None or (off, len(t), t) < old:
+                    best[h] = (off, len(t), t)
             if len(best) > 20_000:
-                yield pd.DataFrame({"host": list(best), "ref": list(best.values())})
+                yield out()
                 best.clear()
         if best:  # a task may have no rows, and a frame of none has no types
-            yield pd.DataFrame({"host": list(best), "ref": list(best.values())})
+            yield out()
 
-    some = pages.where("host is not null and html is not null and html <> ''").select("host", "html").mapInPandas(shortest, "host string, ref string")
-    return some.groupBy("host").agg(F.min_by("ref", F.struct(F.length("ref"), "ref")).alias("ref"))
+    # eight steps each time the length doubles, so that a host has few distinct values
+    some = pages.where("host is not null and html is not null and html <> ''").select("host", "html", F.floor(8 * F.log2(F.length("html"))).alias("step"))
+    mid = written(some.groupBy("host").agg(F.percentile("step", 0.5).alias("mid")), "html-lengths")
+    some = some.join(_sized(mid, "host"), "host").select("host", "html", F.abs(F.col("step") - F.col("mid")).alias("off"))
+    some = some.mapInPandas(nearest, "host string, off double, ref string")
+    return some.groupBy("host").agg(F.min_by("ref", F.struct("off", F.length("ref"), "ref")).alias("ref"))
 
 
 class _References:

@@ -103,6 +103,12 @@ def test_html_template_in_articles(spark):
         assert got[i] == "\n".join([f"Title {i}", *(f"part {k} of {i}" for k in range(1 + i % 4))])
 
 
+def test_html_stub_among_pages(spark):
+    rows = [(i, f"http://a.example/{i}", page("n", f"<div><p>only this {i}</p></div>")) for i in range(9)] + [(50, "http://a.example/50", "<p>moved</p>"), (51, "http://a.example/51", "<!doctype html><ht")]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in range(9)] == [f"only this {i}" for i in range(9)] and got[50] == "moved"
+
+
 def test_tree_matching():
     a, b = htmltext.parse("<div><p>a</p><ul><li>x<li>y</ul></div>"), htmltext.parse("<div><h1>t</h1><p>b</p><ul><li>x</ul></div>")
     assert [x.tag for x, _ in sorted(htmltext.match(a, b), key=lambda p: p[0].tag)] == ["div", "html", "li", "p", "ul"]
