@@ -56,7 +56,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     n_windows counts the distinct template windows of the item, n_matched those found in the document; ``exact`` says
     that all slots hold the item's own values (always so without slots). Items of fewer than 8 tokens are one window
     of that length; items of fewer than 4, null texts and null ids match nothing. Repeated rows of a document or item
-    count once. Documents of any length are searched whole. Without documents or items there are no rows. Other
+    count once. All places of an item in a document are judged: those whose slots agree must have enough of its windows
+    together. Documents of any length are searched whole. Without documents or items there are no rows. Other
     columns are not read.
     """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), canonical(F.col("text"), False).alias("tokens"))
@@ -65,24 +66,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     for n in range(LEAST_TOKENS, window + 1):
         part = items.where(F.col("len") == n).select("item_id", F.lit(n).alias("len"), F.posexplode(_hashes(F.col("tokens"), n)).alias("at", "h"))
         cases = part if cases is None else cases.union(part)
-    wins = written(cases.groupBy("item_id", "len", "h").agg(F.min("at").alias("at")), "leaks-windows")
+    wins = written(cases.groupBy("item_id", "len", "h").agg(F.collect_set("at").alias("ats"), F.min("at").alias("win")), "leaks-windows")
     n_wins = wins.count()
     lengths = sorted(r["len"] for r in wins.select("len").distinct().collect())  # five values at most
-    totals = wins.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    totals = wins.groupBy("item_id", "len").agg(F.count("*").alias("n_windows"))
 
     tokens = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), canonical(F.col("text"), False).alias("tokens"))
     pieces = [_hashes(F.col("tokens"), n) if n == window else _salted(_hashes(F.col("tokens"), n), n) for n in lengths] or [F.array().cast("array<bigint>")]
-    rows = tokens.select("doc_id", F.posexplode(pieces[0] if len(pieces) == 1 else F.concat(*pieces)).alias("pos", "h"))
-    side = wins.select(F.when(F.col("len") == window, F.col("h")).otherwise(F.xxhash64("h", "len")).alias("h"), "item_id", "at")
+    rows = tokens.select("doc_id", F.size("tokens").alias("n"), F.posexplode(pieces[0] if len(pieces) == 1 else F.concat(*pieces)).alias("pos", "h"))
+    side = wins.select(F.when(F.col("len") == window, F.col("h")).otherwise(F.xxhash64("h", "len")).alias("h"), "item_id", "len", "ats", "win")
     if n_wins <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    hits = rows.join(side, "h")
-    # one row for each window of the item: how often it is found doesn't matter, where it is found first tells the place
-    found = hits.groupBy("doc_id", "item_id", "at").agg(F.min("pos").alias("pos"))
-    pairs = found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"), F.min(F.struct("at", "pos")).alias("first"))
+    # positions run over the windows of all lengths: take off those of the lengths before
+    before = F.lit(0)
+    for n in lengths[:-1]:
+        before = before + F.when(F.col("len") > n, F.greatest(F.col("n") - (n - 1), F.lit(0))).otherwise(0)
+    hits = rows.join(side, "h").select("doc_id", "item_id", (F.col("pos") - before).alias("pos"), "win", F.explode("ats").alias("at"))
+    # every place where the item may begin, with the item's windows that are found there
+    found = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("start")).agg(F.collect_set(F.struct("at", "win")).alias("hit"))
+    pairs = found.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("start", "hit")).alias("runs"))
+    pairs = pairs.withColumn("n_matched", F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: r["hit"]["win"])))).cast("bigint"))
     small = totals.hint("broadcast") if n_wins <= BROADCAST_ROWS else totals
     pairs = pairs.join(small, "item_id").where(F.col("n_matched") >= share * F.col("n_windows"))
-    pairs = written(pairs.select("doc_id", "item_id", "n_windows", "n_matched", F.col("first.at").alias("at"), F.col("first.pos").alias("pos")), "leaks-pairs")
+    pairs = written(pairs.select("doc_id", "item_id", "len", "n_windows", "n_matched", "runs"), "leaks-pairs")
 
     # slots, of those items that have any
     full = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), canonical(F.col("text"), True).alias("slots")).dropDuplicates(["item_id"])
@@ -94,15 +100,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     few = slotted.count() <= BROADCAST_PAIRS
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     texts = texts.join(F.broadcast(slotted) if few else slotted.hint("shuffle_hash"), "doc_id")
-    # the document's tokens from where the item begins
-    begin = F.greatest(F.col("pos") - F.col("at"), F.lit(0)) + 1
-    own = F.slice(canonical(F.col("text"), True), begin, F.size("slots"))
-    both = F.filter(F.arrays_zip(F.col("slots").alias("a"), own.alias("b")), lambda p: p["a"].rlike(f"^[{NUMBER}{NAME}]") & p["b"].isNotNull() & (F.substring(p["a"], 1, 1) == F.substring(p["b"], 1, 1)))
-    pairs_of = F.array_distinct(both)
-    judged = texts.select("doc_id", "item_id", "n_windows", "n_matched", pairs_of.alias("map"))
-    values = F.array_distinct(F.transform("map", lambda p: p["a"]))
-    judged = judged.where(F.size("map") == F.size(values))
-    judged = judged.select("doc_id", "item_id", "n_windows", "n_matched", F.forall("map", lambda p: p["a"] == p["b"]).alias("exact"))
+    texts = texts.select("doc_id", "item_id", "len", "n_windows", "n_matched", "runs", "slots", canonical(F.col("text"), True).alias("own"))
+
+    def fillings(r: Column) -> Column:
+        """Distinct values of the item and the document in the slots of the windows found at one place."""
+        covered = F.array_distinct(F.flatten(F.transform(r["hit"]["at"], lambda at: F.sequence(at, at + F.col("len") - 1))))
+        both = F.transform(covered, lambda i: F.struct(F.get("slots", i).alias("a"), F.get("own", r["start"] + i).alias("b"), F.substring(F.get("own", r["start"] + i), 1, 1).alias("kind")))
+        return F.array_distinct(F.filter(both, lambda p: p["a"].rlike(f"^[{NUMBER}{NAME}]") & p["b"].isNotNull() & (F.substring(p["a"], 1, 1) == p["kind"])))
+
+    places = texts.select("doc_id", "item_id", "n_windows", "n_matched", F.transform("runs", lambda r: F.struct(r["hit"]["win"].alias("wins"), fillings(r).alias("map"))).alias("places"))
+    places = places.withColumn("places", F.filter("places", lambda q: F.size(q["map"]) == F.size(F.array_distinct(q["map"]["a"]))))
+
+    def enough(of: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(of, lambda q: q["wins"])))) >= share * F.col("n_windows")
+
+    same = F.filter("places", lambda q: F.forall(q["map"], lambda p: p["a"] == p["b"]))
+    judged = places.where(enough(F.col("places"))).select("doc_id", "item_id", "n_windows", "n_matched", enough(same).alias("exact"))
     return plain.union(judged.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"), F.max("exact").alias("exact")))
 
 

@@ -134,6 +134,17 @@ def test_decontamination(spark):
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_all_places(spark):
+    mixed = "if 5 apples cost 5 coins then how many coins do 5 bags of apples cost in the market today"
+    short = "add 3 pears and 3 figs"
+    bench = spark.createDataFrame([(1, mixed), (2, short)], "item_id long, text string")
+    variant = mixed.replace("5 apples", "8 apples").replace("5 bags", "9 bags")
+    lead = "some words that stand before the item and are in no item at all so that places are shifted by much more. "
+    texts = [(1, f"{variant}. {mixed}."), (2, f"{variant}. {variant}."), (3, lead + mixed), (4, lead + variant), (5, lead + short), (6, lead + short.replace("3 figs", "4 figs")), (7, f"{short.replace('3 figs', '4 figs')}. {short}.")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["exact"] for r in decontam.leaks(docs, bench).collect()} == {(1, 1): True, (3, 1): True, (5, 2): True, (7, 2): True}
+
+
 def test_language(spark):
     en = "the cat and the dog went over the hill with their friends that day"
     de = "der hund und die katze gingen über den berg mit ihren freunden an diesem tag"
