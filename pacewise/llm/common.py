@@ -8,8 +8,10 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,12 @@ _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset a temporary one on a single machine (tests), an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="pacewise-")
         atexit.register(shutil.rmtree, _FALLBACK["dir"], True)
@@ -142,50 +146,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _pieces(text: str) -> list[bytes]:
-    """UTF-8 of the lower-cased text in pieces cut at ASCII white space (or anywhere in an endless word)."""
-    raw = text.lower().encode("utf-8", "surrogatepass")
-    if len(raw) <= _CHUNK:
-        return [raw]
-    out, at = [], 0
-    while at < len(raw):
-        end = min(at + _CHUNK, len(raw))
-        if end < len(raw):
-            cut = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end))
-            end = cut + 1 if cut > at else end
-        out.append(raw[at:end])
+def letters_sum(raw: bytes) -> int:
+    """Polynomial of the bytes of a word of any length, modulo 2**64, taken in pieces."""
+    t, acc = _Tables.get(), 0
+    for at in range(0, len(raw), _CHUNK):
+        part = np.frombuffer(raw, np.uint8, min(_CHUNK, len(raw) - at), at)
+        acc += int((t.letter[part] * t.pow[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return acc & _MASK
+
+
+def cut_at(raw: bytes, inside: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, endless) of the pieces of ``raw``, cut only at bytes that are not ``inside`` a word.
+
+    A piece has _CHUNK bytes at most, but for a word that is longer: that is a piece of its own, marked endless.
+    """
+    at = 0
+    while len(raw) - at > _CHUNK:
+        gaps = np.flatnonzero(~inside[np.frombuffer(raw, np.uint8, _CHUNK, at)])
+        if len(gaps):
+            yield at, at + int(gaps[-1]) + 1, False
+            at += int(gaps[-1]) + 1
+            continue
+        end = at + _CHUNK
+        while end < len(raw):
+            gaps = np.flatnonzero(~inside[np.frombuffer(raw, np.uint8, min(_CHUNK, len(raw) - end), end)])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(end + _CHUNK, len(raw))
+        yield at, end, True
         at = end
-    return out
+    yield at, len(raw), False
 
 
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
-    """For each text the 64-bit hashes of its words: runs of ASCII letters and digits and of all non-ASCII characters, lower-cased."""
+    """For each text the 64-bit hashes of its words: runs of ASCII letters and digits and of all non-ASCII characters, lower-cased.
+
+    Words of any length are whole.
+    """
     t = _Tables.get()
-    owner, pieces = [], []
-    for i, x in enumerate(texts):
-        for p in _pieces(x or ""):
-            owner.append(i)
-            pieces.append(p)
     found: list[list[np.ndarray]] = [[] for _ in texts]
-    at = 0
-    while at < len(pieces):
-        end, size = at, 0
-        while end < len(pieces) and (end == at or size + len(pieces[end]) + 1 <= _CHUNK):
-            size += len(pieces[end]) + 1
-            end += 1
-        data = np.frombuffer(b" ".join(pieces[at:end]) + b" ", dtype=np.uint8)
-        is_word = t.word[data]
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], is_word, [False])).view(np.int8)))
+    group: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if not group:
+            return
+        data = np.frombuffer(b" ".join(p for _, p in group) + b" ", dtype=np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], t.word[data], [False])).view(np.int8)))
         starts, ends = edge[::2], edge[1::2]
         total = np.empty(len(data) + 1, dtype=np.uint64)
         total[0] = 0
         np.cumsum(t.letter[data] * t.pow[: len(data)], out=total[1:])
         hashes = mix((total[ends] - total[starts]) * t.inv[starts] + (ends - starts).astype(np.uint64))
-        bounds = np.cumsum([len(p) + 1 for p in pieces[at:end]])
-        for i, part in zip(owner[at:end], np.split(hashes, np.searchsorted(starts, bounds[:-1])), strict=True):
+        bounds = np.cumsum([len(p) + 1 for _, p in group])
+        for (i, _), part in zip(group, np.split(hashes, np.searchsorted(starts, bounds[:-1])), strict=True):
             found[i].append(part)
-        at = end
-    return [x[0] if len(x) == 1 else np.concatenate(x) for x in found]
+        group.clear()
+        size = 0
+
+    for i, x in enumerate(texts):
+        raw = (x or "").lower().encode("utf-8", "surrogatepass")
+        for at, end, endless in cut_at(raw, t.word):
+            if endless:
+                flush()
+                found[i].append(mix(np.array([(letters_sum(raw[at:end]) + end - at) & _MASK], np.uint64)))
+                continue
+            if size + end - at + 1 > _CHUNK:
+                flush()
+            group.append((i, raw[at:end]))
+            size += end - at + 1
+    flush()
+    return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.uint64), *x]) for x in found]
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -211,6 +244,44 @@ def batched(texts: list[str], most_chars: int = 1_000_000):
         at = end
 
 
+def sorted_groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups from frames that are sorted by ``by`` and may cut a group; a frame has many."""
+    rest: list[pd.DataFrame] = []
+    for df in frames:
+        if not len(df):
+            continue
+        codes = df[by].to_numpy()
+        edge = np.flatnonzero((codes[1:] != codes[:-1]).any(axis=1)) + 1
+        if rest and (rest[-1][by].iloc[-1].to_numpy() != codes[0]).any():
+            yield pd.concat(rest)
+            rest = []
+        if not len(edge):
+            rest.append(df)
+            continue
+        if rest:
+            yield pd.concat([*rest, df.iloc[: edge[0]]])
+        for a, b in zip([0, *edge] if not rest else edge, [*edge, None] if not rest else [*edge[1:], None], strict=True):
+            if b is None:
+                rest = [df.iloc[a:]]
+            else:
+                yield df.iloc[a:b]
+    if rest:
+        yield pd.concat(rest)
+
+
+def flat_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest position that pairs (i, j) of ``n`` positions reach, for each position."""
+    root = np.arange(n)
+    while True:
+        low, new = np.minimum(root[i], root[j]), root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 # ---------------------------------------------------------------- components
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, ship, written
+from .common import components, flat_roots, forget, ship, sorted_groups, written
 
 COSINE = 0.98
 #: A pair at the threshold is missed by all tables with at most this probability.
@@ -63,31 +63,6 @@ def _keys(vectors: DataFrame, bits: int, n_tables: int) -> DataFrame:
     return rows.mapInPandas(run, "vec_id bigint, grp string, same binary, unit binary, keys array<int>")
 
 
-def _groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups from frames that are sorted by ``by`` and may cut a group; a frame has many."""
-    rest: list[pd.DataFrame] = []
-    for df in frames:
-        if not len(df):
-            continue
-        codes = df[by].to_numpy()
-        edge = np.flatnonzero((codes[1:] != codes[:-1]).any(axis=1)) + 1
-        if rest and (rest[-1][by].iloc[-1].to_numpy() != codes[0]).any():
-            yield pd.concat(rest)
-            rest = []
-        if not len(edge):
-            rest.append(df)
-            continue
-        if rest:
-            yield pd.concat([*rest, df.iloc[: edge[0]]])
-        for a, b in zip([0, *edge] if not rest else edge, [*edge, None] if not rest else [*edge[1:], None], strict=True):
-            if b is None:
-                rest = [df.iloc[a:]]
-            else:
-                yield df.iloc[a:b]
-    if rest:
-        yield pd.concat(rest)
-
-
 def duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding, label).
 
@@ -95,7 +70,7 @@ def duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     zero, of another dimension, or hold a null or non-finite component link with nothing, nor do those without a label.
     n_links counts other rows linked directly, equal vectors included; component_id is the smallest vec_id that links
     reach; kept says that it is the row's own. A null vec_id has no component and isn't kept. Rows that share a vec_id
-    share its component. An empty table gives no rows. A link at the threshold is missed with probability 1e-4, since
+    share its component, and n_links is that of the one with most. An empty table gives no rows. A link at the threshold is missed with probability 1e-4, since
     none of the tables may hold both ends in one bucket; none below the threshold is made.
     """
     spark = vectors.sparkSession
@@ -106,17 +81,18 @@ def duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     reps = keyed.groupBy("grp", "same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit"), F.first("keys").alias("keys"))
     reps = written(reps, "embed-reps")
 
-    rows = reps.select("grp", "rep", F.posexplode("keys").alias("t", "key"))
+    # a vector is told by label, dimension and digest; an id may stand on several of them
+    rows = reps.select("grp", "same", "rep", F.posexplode("keys").alias("t", "key"))
     buckets = rows.groupBy("grp", "t", "key").agg(F.count("*").alias("m")).where("m > 1")
-    members = rows.join(buckets, ["grp", "t", "key"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int"))
-    members = members.select("grp", "t", "key", "rep", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.select("grp", "t", "key", "rep", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
-    ready = members.join(reps.drop("grp"), "rep")
+    members = rows.join(buckets, ["grp", "t", "key"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("same", "t"), F.col("blocks")).cast("int"))
+    members = members.select("grp", "same", "t", "key", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = members.select("grp", "same", "t", "key", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+    ready = members.join(reps, ["grp", "same"])
     by = ["grp", "t", "key", "lo", "hi"]
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[pd.DataFrame] = []
-        for df in _groups(frames, by):
+        for df in sorted_groups(frames, by):
             n = len(df)
             x = np.frombuffer(b"".join(df["unit"]), np.float64).reshape(n, -1)
             g = x @ x.T
@@ -135,16 +111,9 @@ def duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 continue
             rep, copies = df["rep"].to_numpy(np.int64), df["copies"].to_numpy(np.int64)
             links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
-            root = rep.copy()
-            while True:
-                low, new = np.minimum(root[i], root[j]), root.copy()
-                np.minimum.at(new, i, low)
-                np.minimum.at(new, j, low)
-                if (new == root).all():
-                    break
-                root = new
             some = links > 0
-            out.append(pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "root": root[some]}))
+            root = rep[flat_roots(n, i, j)]
+            out.append(pd.DataFrame({"grp": df["grp"].to_numpy()[some], "same": df["same"].to_numpy()[some], "rep": rep[some], "links": links[some].astype(np.int64), "root": root[some]}))
             if sum(map(len, out)) > 20_000:
                 yield pd.concat(out)
                 out = []
@@ -152,13 +121,17 @@ def duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             yield pd.concat(out)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = ready.repartition(tasks, *by).sortWithinPartitions(*by, "rep").mapInPandas(verify, "rep bigint, links bigint, root bigint")
+    found = ready.repartition(tasks, *by).sortWithinPartitions(*by, "rep", "same").mapInPandas(verify, "grp string, same binary, rep bigint, links bigint, root bigint")
     found = written(found, "embed-found")
-    forest = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "embed-cc")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_rep = reps.select("grp", "same", "rep", "copies").join(links, "rep", "left").join(forest.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    # an id on several vectors holds their classes together
+    owners = keyed.select("vec_id", "grp", "same").distinct().join(reps.select("grp", "same", "rep"), ["grp", "same"])
+    least = owners.groupBy("vec_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("vec_id", "low")
+    shared = owners.join(least, "vec_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    forest = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).union(shared), "embed-cc")
+    links = found.groupBy("grp", "same").agg(F.sum("links").alias("links"))
+    per_rep = reps.select("grp", "same", "rep", "copies").join(links, ["grp", "same"], "left").join(forest.select(F.col("node").alias("rep"), "component"), "rep", "left")
     per_rep = per_rep.select("grp", "same", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    linked = keyed.select("vec_id", "grp", "same").join(per_rep, ["grp", "same"]).select("vec_id", "component", "links").withColumn("one", F.lit(1))
+    linked = keyed.select("vec_id", "grp", "same").join(per_rep, ["grp", "same"]).select("vec_id", "component", "links")
     # rows that share an id share what is known of it
     linked = linked.groupBy("vec_id").agg(F.min("component").alias("component"), F.max("links").alias("links"))
     ids = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"))

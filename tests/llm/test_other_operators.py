@@ -142,3 +142,25 @@ def test_pipeline(spark):
     docs = {r["doc_id"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()}
     kept = {r["doc_id"] for r in rows}
     assert kept < docs and len(kept) > len(docs) / 2
+
+
+def test_embeddings_with_repeated_ids(spark):
+    g = np.random.Generator(np.random.PCG64(8))
+    rows = []
+    for k in range(41):
+        a, b = g.standard_normal((2, 16))
+        c = b + 0.01 * g.standard_normal(16)
+        rows += [(2 * k, a.tolist(), 0), (2 * k, b.tolist(), 1), (2 * k + 1, c.tolist(), 0)]
+    rows += [(900, g.standard_normal(8).tolist(), 0), (900, g.standard_normal(16).tolist(), 0)]
+    near = g.standard_normal(16)
+    rows += [(901, near.tolist(), 5), (902, near.tolist(), 5), (902, (-near).tolist(), 6), (903, (-near).tolist(), 6)]
+    got = {r["vec_id"]: r for r in embeddup.duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in [*range(82), 900])
+    assert [got[i]["component_id"] for i in (901, 902, 903)] == [901] * 3 and [got[i]["n_links"] for i in (901, 902, 903)] == [1] * 3
+
+
+def test_warc_header_lines(spark):
+    rows = [(1, "http://a/ WARC-Payload-Digest: sha1:X", "one"), (2, "http://a/\u0085WARC-Type: x ", "two"), (3, "http://a/\r\nWARC-Type: x", "three")]
+    got = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()}
+    for i, _, h in rows:
+        assert got[i]["payload_digest"] == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() and got[i]["record_type"] == "response"
