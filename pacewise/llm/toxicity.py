@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, ship, written
+from .common import forget, remainder, ship, written
 
 #: Labelled rows that the classifier is fitted on at most, of each class: those with the smallest hashes of doc_id.
 MOST_ROWS = 6_000
@@ -32,7 +32,8 @@ LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 
 _WORD = re.compile(r"[^\W_]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-*_ ]){3,}[^\W\d_](?![^\W_])")
-_DISGUISED = re.compile(r"[^\W\d_]+[013457@$!*]+[^\W\d_]+[013457@$!*\w]*")
+# runs are taken whole and only from their first letter, so that the search is linear in the text
+_DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[013457@$!*]++[^\W\d_]++[013457@$!*\w]*+")
 _LONG = re.compile(r"(\w)\1{2,}")
 PREFIX = 5
 NAMES = ("log_words", "words_hit", "density", "weight", "peak", "distinct", "prefixes_hit", "prefix_density", "prefix_weight", "prefix_peak", "near_you", "you", "capitals", "all_caps", "exclaim", "question", "symbols", "disguised", "disguised_hit", "spaced", "spaced_hit", "stretched", "digits", "mean_word")
@@ -192,8 +193,10 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_terms: int = MOST_TERMS) -> Model:
     """Fit on labelled rows outside the held-out fold, at most ``most_rows`` of each class.
 
-    Rows without a text or label are left out; a doc_id with several labels counts with the largest. With no labelled
-    row, or one class alone, all scores are equal.
+    Rows without a text, id or label are left out; empty and long texts are learned from whole; a doc_id with several
+    labels counts with the largest, one on several rows with one of their texts. Ties between ids or terms go to the
+    smaller. Other columns are not read. With no labelled row, or one class alone, all scores are equal; so for empty
+    tables.
     """
     spark: SparkSession = docs.sparkSession
     ship(spark)
@@ -201,6 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ter
     share = marks.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     chosen = [marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for y in (0, 1)]
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 x most_rows small rows
+    # an id that stands on many rows counts once, with the text of the smallest hash
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = written(sample.repartition(8, "doc_id"), "toxicity-sample")
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,14 +231,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ter
         odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
         least = max(3, round(0.002 * n_pos))
         found = counted.where(F.col("pos") >= least).withColumn("odds", odds).where("odds > 1.6")
-        lexicon = {r["term"]: r["odds"] for r in found.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term").limit(2 * most_terms).collect()}
+        best = (F.desc(F.col("odds") * F.sqrt("pos")), F.col("term"))
+        kinds = [found.where(F.col("term").endswith("*") == kind).orderBy(*best).limit(most_terms) for kind in (False, True)]
+        lexicon = {r["term"]: r["odds"] for r in kinds[0].union(kinds[1]).collect()}
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            yield pd.DataFrame({"doc_id": df["doc_id"], "toxic": df["toxic"], "x": [features(t, lexicon) for t in df["text"]]})
+            yield pd.DataFrame({"doc_id": df["doc_id"], "toxic": df["toxic"], "x": [np.array(features(t, lexicon)).tobytes() for t in df["text"]]})
 
-    rows = sample.mapInPandas(measure, "doc_id bigint, toxic int, x array<double>").toPandas().sort_values(["doc_id", "toxic"])
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(NAMES))
+    rows = sample.mapInPandas(measure, "doc_id bigint, toxic int, x binary").toPandas().sort_values(["doc_id", "toxic"])
+    x = np.frombuffer(b"".join(rows["x"]), np.float64).reshape(len(rows), len(NAMES))
+    forget(spark, sample)
     y = rows["toxic"].to_numpy(dtype=float)
     part = np.arange(len(y)) % 3 == 0
     if len(y) < 30 or y.min() == y.max():
@@ -262,7 +270,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text isn't toxic, with all their columns."""
+    """The rows of ``docs`` whose text isn't toxic, with all their columns, whatever their names.
+
+    A null text is an empty one and has the share of toxic labels as its score; repeated rows and rows that share an id
+    are judged each; texts of any length are read whole; a score of 0.3 itself goes; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     cols = docs.columns
 
