@@ -69,7 +69,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
 
 
 def _field(name: str) -> Column:
-    return F.nullif(F.regexp_extract(F.decode("header", "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
+    """A header's value. Only a line feed ends a line here: a URL may hold other characters that end lines elsewhere."""
+    return F.nullif(F.regexp_extract(F.decode("header", "UTF-8"), rf"(?md)^{name}: ([^\r\n]*)", 1), F.lit(""))
 
 
 def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
@@ -85,9 +86,9 @@ def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     both = spark.read.parquet(f"{path}/records").join(store, "sha256")
     told = F.substring(_field("WARC-Payload-Digest"), 6, 32)
     out = both.select(
-        F.expr("try_cast(regexp_extract(decode(header, 'UTF-8'), '(?m)^WARC-Record-ID: <urn:page:([^>]*)>', 1) as bigint)").alias("page_id"), _field("WARC-Target-URI").alias("url"), "payload_bytes",
+        F.expr("try_cast(regexp_extract(decode(header, 'UTF-8'), '(?md)^WARC-Record-ID: <urn:page:([^>]*)>', 1) as bigint)").alias("page_id"), _field("WARC-Target-URI").alias("url"), "payload_bytes",
         F.when(told == F.col("digest"), told).otherwise(F.raise_error(F.lit("record doesn't match its payload")).cast("string")).alias("payload_digest"), _field("WARC-Type").alias("record_type"),
-        F.expr("try_cast(nullif(regexp_extract(decode(header, 'UTF-8'), '(?m)^WARC-Refers-To: <urn:page:([^>]*)>', 1), '') as bigint)").alias("refers_to"),
+        F.expr("try_cast(nullif(regexp_extract(decode(header, 'UTF-8'), '(?md)^WARC-Refers-To: <urn:page:([^>]*)>', 1), '') as bigint)").alias("refers_to"),
         *([F.col("payload"), F.col("header")] if whole else []),
     )
     if whole:
