@@ -129,8 +129,8 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(1, item), (2, mixed), (3, "tiny one"), (4, None), (None, item)], "item_id long, text string").withColumn("doc_id", F.lit(0))
     docs = spark.createDataFrame([(1, "Intro text. " + item + " and more text"), (2, "other " + other), (3, "a clean text about nothing at all that is long enough to have windows"), (4, None), (5, ""), (6, mixed.replace("5 bags", "9 bags").replace("5 apples", "8 apples")), (7, mixed.replace("5", "8")), (1, item), (8, "tiny one")], "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontam.leaks(docs, bench).collect()}
-    assert got == {(1, 1): True, (2, 1): False, (7, 2): False}
-    assert sorted(r["doc_id"] for r in decontam.keep_clean(docs, bench).collect()) == [3, 4, 5, 6, 8]
+    assert got == {(1, 1): True, (2, 1): False, (7, 2): False, (8, 3): True}
+    assert sorted(r["doc_id"] for r in decontam.keep_clean(docs, bench).collect()) == [3, 4, 5, 6]
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
