@@ -73,7 +73,7 @@ def test_against_brute_force(spark):
             text = rng.choice(items[:13])[1]
             body.insert(rng.randrange(len(body) + 1), text if rng.random() < 0.4 else other(text))
         docs.append(". ".join(body))
-    docs += ["Ann has 4 apples. Ann buys 6 more.", "Ann has 4 apples. Lars buys 6 more.", "3 km", "4 km", "it is 3 km", "Yes!", "yes", "oh yes", None, "", "lo " * 200_000 + items[0][1]]
+    docs += ["Ann has 4 apples. Ann buys 6 more.", "Ann has 4 apples. Lars buys 6 more.", "3 km", "4 km", "it is 3 km", "Yes!", "yes", "oh yes", None, "", "lo " * 30_000 + items[0][1]]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("pos", F.lit(1)).withColumn("h", F.lit("x")).withColumn("item_id", F.lit(7))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontam.leaks(df, bench).collect()}
