@@ -56,3 +56,19 @@ def test_language_against_brute_force(spark):
     assert kept.columns == docs.columns and kept.count() == 93
     many = spark.createDataFrame([(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} and more", f"l{i}", "s", 1) for i in range(400)], DOCS)
     assert len(langid.fit(many).langs) > 200
+
+
+def test_lm_words_of_any_length():
+    import public_tokenizers
+
+    from pacewise.llm import lmscore
+
+    voc = lmscore.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["The " + "thing" * 120_000, "a b " + "X" * 600_000 + "\tc", "", "x" * 600_000]
+    got = {}
+    for i, h, p in lmscore.words(texts, voc):
+        got.setdefault(i, []).append((h, p))
+    assert [sum(len(h) for h, _ in got[i]) for i in range(4)] == [2, 4, 0, 1]
+    long = [np.concatenate([h for h, _ in got[i]]) for i in range(4)]
+    assert long[1][2] == long[3][0] != long[0][1] and np.concatenate([p for _, p in got[0]])[1] > 0
+    assert lmscore.hashed(b"x" * 600_000) == long[3][0]
