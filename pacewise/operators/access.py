@@ -6,28 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORIES, DEFAULT_T_MAX, EVACUATION, SPEED, UNREACHABLE
-from .spatial import within
 
 W = [f"w{k}" for k in range(CATEGORIES)]
 
 
-def straight_times(cells: DataFrame, status: DataFrame, limit: float = 1200.0, detour: float = 1.3) -> DataFrame:
-    """id, level, kategori, minutes: walking time along the straight line with a detour factor, for shelters within ``limit``.
-
-    A stand-in for network times where no road graph is at hand. Pairs of places are found once for all levels.
-    """
-    pts = cells.select(F.col("id").alias("pid"), F.col("cx").alias("px"), F.col("cy").alias("py"))
-    sites = status.groupBy("id", "kategori", "x", "y").agg(F.collect_list(F.when(F.col("is_valid"), F.col("level"))).alias("lv"))
-    sites = sites.select(F.col("id").alias("sid"), "kategori", F.col("x").alias("sx"), F.col("y").alias("sy"), "lv")
-    near = within(pts, sites, limit).select("pid", "kategori", "d", F.explode("lv").alias("level"))
-    return near.groupBy(F.col("pid").alias("id"), "level", "kategori").agg((F.min("d") * detour / SPEED).alias("minutes"))
-
-
-def wide_times(times: DataFrame, cells: DataFrame, levels: DataFrame) -> DataFrame:
-    """One row for each cell and level, a column for each category; unreachable is 9999."""
-    wide = times.groupBy("id", "level").agg(*[F.min(F.when(F.col("kategori") == k, F.col("minutes"))).alias(W[k]) for k in range(CATEGORIES)])
-    every = cells.select("id").join(F.broadcast(levels.select("level")), how="cross")
-    return every.join(wide, ["id", "level"], "left").select("id", "level", *[F.coalesce(w, F.lit(UNREACHABLE)).alias(w) for w in W])
+def wide_times(times: DataFrame) -> DataFrame:
+    """One row for each cell and level that has a time, a column for each category; null where there is none."""
+    return times.groupBy("id", "level").agg(*[F.min(F.when(F.col("kategori") == k, F.col("minutes"))).alias(W[k]) for k in range(CATEGORIES)])
 
 
 def t_max(times: DataFrame) -> DataFrame:
@@ -36,17 +21,20 @@ def t_max(times: DataFrame) -> DataFrame:
     return times.where("level = 'baseline'").agg(F.coalesce(m, F.lit(DEFAULT_T_MAX)).alias("t_max")).withColumn("t_pen", 3 * F.col("t_max"))
 
 
-def frame(cells: DataFrame, wet: DataFrame, times: DataFrame, levels: DataFrame, penalty: DataFrame) -> DataFrame:
-    """The feature row of each cell and level: density (median where missing), hazard, tergenang, penalised times, iso_k, wmin, opsi, terisolasi."""
-    rows = wide_times(times, cells, levels).join(F.broadcast(penalty), how="cross")
+def frame(wet: DataFrame, times: DataFrame, penalty: DataFrame) -> DataFrame:
+    """The feature row of each cell and level: density (median where missing), hazard, tergenang, penalised times, iso_k, wmin, opsi, terisolasi.
+
+    ``wet`` has the cells at each level; the times join it once. What is unreachable or beyond the penalty has the penalty.
+    """
+    rows = wet.select("id", "level", "density", "hazard", "tergenang").join(wide_times(times), ["id", "level"], "left").join(F.broadcast(penalty), how="cross")
     pen = F.col("t_pen")
-    clamp = lambda w: F.when((F.col(w) >= 0.9 * UNREACHABLE) | F.isnan(w), pen).otherwise(F.least(F.col(w), pen))
-    rows = rows.select("id", "level", "t_pen", *[clamp(w).alias(w) for w in W])
+    clamp = lambda w: F.when(F.col(w).isNull() | (F.col(w) >= 0.9 * UNREACHABLE) | F.isnan(w), pen).otherwise(F.least(F.col(w), pen))
+    mid = wet.where("level = 'baseline'").agg(F.percentile("density", 0.5).alias("mid"))
+    rows = rows.join(F.broadcast(mid), how="cross")
+    rows = rows.select("id", "level", F.coalesce("density", "mid").alias("density"), F.coalesce("hazard", F.lit(0)).alias("hazard"), "tergenang", "t_pen", *[clamp(w).alias(w) for w in W])
     rows = rows.select("*", *[(F.col(w) >= pen).cast("int").alias(f"iso{k}") for k, w in enumerate(W)])
     iso = sum((F.col(f"iso{k}") for k in range(CATEGORIES)), F.lit(0))
-    rows = rows.withColumn("wmin", F.least(*W)).withColumn("opsi", F.lit(CATEGORIES) - iso).withColumn("terisolasi", (F.col("opsi") == 0).cast("int"))
-    base = cells.join(F.broadcast(cells.agg(F.percentile("density", 0.5).alias("mid"))), how="cross").select("id", F.coalesce("density", "mid").alias("density"), F.coalesce("hazard", F.lit(0)).alias("hazard"))
-    return rows.join(base, "id").join(wet.select("id", "level", "tergenang"), ["id", "level"])
+    return rows.withColumn("wmin", F.least(*W)).withColumn("opsi", F.lit(CATEGORIES) - iso).withColumn("terisolasi", (F.col("opsi") == 0).cast("int"))
 
 
 def access_class(w: Column, wet: Column, t_pen: Column, threshold: float = EVACUATION) -> Column:
@@ -121,21 +109,31 @@ def transitions(rows: DataFrame, k: int, base: str = "baseline") -> DataFrame:
 
 
 def transition_summary(matrix: DataFrame, k: int) -> DataFrame:
-    """Flows into and out of the flood, stability and the commonest change among cells that stay dry, adjusted Rand index, CDVM."""
+    """Flows between levels. States are the types 0 to k-1 and k, flooded.
+
+    Stability and the adjusted Rand index are of cells that are dry at both; the commonest change (the first by row and
+    column on a tie), active edges, moved cells and the CDVM take all k + 1 states.
+    """
     matrix = matrix.persist()  # states squared for each level, read several times
-    dry = (F.col("a") < k) & (F.col("b") < k)
-    off = F.when(dry & (F.col("a") != F.col("b")) & (F.col("n") > 0), F.struct(F.col("n").alias("n"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b")))
+    dry, moved = (F.col("a") < k) & (F.col("b") < k), F.col("a") != F.col("b")
+    off = F.when(moved & (F.col("n") > 0), F.struct(F.col("n").alias("n"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b")))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     s = matrix.groupBy("level").agg(
-        F.sum(F.when((F.col("a") < k) & (F.col("b") == k), F.col("n")).otherwise(0)).alias("masuk"), F.sum(F.when((F.col("a") == k) & (F.col("b") < k), F.col("n")).otherwise(0)).alias("keluar"),
-        F.sum(F.when(dry, F.col("n")).otherwise(0)).alias("kering"), F.sum(F.when(dry & (F.col("a") == F.col("b")), F.col("n")).otherwise(0)).alias("tetap"), F.max(off).alias("top"),
-        F.count_if(dry & (F.col("a") != F.col("b")) & (F.col("n") > 0)).alias("n_sisi"),
+        F.sum("n").alias("n_grid"), total((F.col("a") < k) & (F.col("b") == k)).alias("masuk"), total((F.col("a") == k) & (F.col("b") < k)).alias("keluar"), total(F.col("a") < k).alias("kering_awal"),
+        total(dry).alias("kering"), total(dry & ~moved).alias("tetap"), total(moved).alias("pindah"), F.max(off).alias("top"),
+        F.count_if(moved & (F.col("n") > 0)).alias("n_sisi"), F.count_if(dry & moved & (F.col("n") > 0)).alias("n_sisi_tipologi"),
+    )
+    side = lambda c: matrix.groupBy("level", F.col(c).alias("s")).agg(F.sum("n").alias("n" + c))
+    both = side("a").join(side("b"), ["level", "s"]).withColumn("t", F.sum("na").over(Window.partitionBy("level")))
+    both = both.groupBy("level").agg((0.5 * F.sum(F.abs(F.col("nb") - F.col("na")) / F.when(F.col("t") > 0, F.col("t")))).alias("cdvm"))
+    out = s.join(both, "level").join(rand_index(matrix.where(dry), ["level"]), "level", "left")
+    share = lambda x, y: F.try_divide(100 * F.col(x), F.col(y))
+    out = out.select(
+        "level", "n_grid", "masuk", share("masuk", "n_grid").alias("masuk_pct"), share("masuk", "kering_awal").alias("masuk_pct_kering"), "keluar", "kering", share("tetap", "kering").alias("stabil_pct"),
+        (-F.col("top.a")).alias("dari"), (-F.col("top.b")).alias("ke"), F.col("top.n").alias("n_dominan"), F.when(F.col("top").isNotNull(), F.when(-F.col("top.b") == k, "Tergenang").otherwise("tipologi lain")).alias("menuju"),
+        "n_sisi", "n_sisi_tipologi", "pindah", "cdvm", F.when(F.col("kering") > 1, F.col("ari")).alias("ari"),
     )
-    side = lambda c: matrix.where(dry).groupBy("level", F.col(c).alias("s")).agg(F.sum("n").alias("n"))
-    both = side("a").withColumnRenamed("n", "na").join(side("b").withColumnRenamed("n", "nb"), ["level", "s"], "full")
-    total = F.sum("na").over(Window.partitionBy("level"))
-    both = both.withColumn("t", total).groupBy("level").agg((0.5 * F.sum(F.abs(F.col("nb") - F.col("na")) / F.when(F.col("t") > 0, F.col("t")))).alias("cdvm"))
-    out = s.join(both, "level").join(rand_index(matrix.where(dry), ["level"]), "level")
-    return out.select("level", "masuk", "keluar", "kering", (100 * F.col("tetap") / F.when(F.col("kering") > 0, F.col("kering"))).alias("stabil_pct"), (-F.col("top.a")).alias("dari"), (-F.col("top.b")).alias("ke"), F.col("top.n").alias("n_dominan"), "n_sisi", (F.col("kering") - F.col("tetap")).alias("pindah"), "cdvm", "ari")
+    return out
 
 
 def rand_index(cross: DataFrame, by: list[str]) -> DataFrame:
@@ -152,38 +150,50 @@ def rand_index(cross: DataFrame, by: list[str]) -> DataFrame:
 
 
 def by_region(rows: DataFrame, k: int) -> DataFrame:
-    """Per region and level: cells, clusters, flooded, isolated, mean time, commonest cluster (the first on a tie)."""
+    """Per region and level: cells, clusters, flooded, isolated (no options), pseudo-safe, shares, mean time of all cells, commonest cluster (the first on a tie)."""
     cnt = [F.count_if(F.col("state") == i) for i in range(k)]
-    out = rows.groupBy("region", "level").agg(F.count("*").alias("n"), *[c.alias(f"c{i}") for i, c in enumerate(cnt)], F.sum("tergenang").alias("n_tergenang"), F.sum(F.when(F.col("tergenang") == 0, F.col("terisolasi")).otherwise(0)).alias("n_terisolasi"), F.avg(F.when(F.col("tergenang") == 0, F.col("wmin"))).alias("mean_w"))
+    out = rows.groupBy("region", "level").agg(F.count("*").alias("n"), *[c.alias(f"c{i}") for i, c in enumerate(cnt)], F.count_if(F.col("status") == 1).alias("n_tas"), F.sum("tergenang").alias("n_tergenang"), F.sum("terisolasi").alias("n_terisolasi"), F.avg("wmin").alias("mean_w"))
     arr = F.array(*[f"c{i}" for i in range(k)])
-    return out.withColumn("dominan", (F.array_position(arr, F.array_max(arr)) - 1).cast("int")).withColumn("pct_tergenang", 100 * F.col("n_tergenang") / F.col("n"))
+    pct = {"terisolasi": "n_terisolasi", "tergenang": "n_tergenang", "tas": "n_tas", "kritis": f"c{k - 1}"}
+    return out.select("*", (F.array_position(arr, F.array_max(arr)) - 1).cast("int").alias("dominan"), *[(100 * F.col(c) / F.col("n")).alias(f"pct_{name}") for name, c in pct.items()])
 
 
 def pseudo_safe(rows: DataFrame) -> DataFrame:
-    """Pseudo-safe status from t_ideal and t_aktual: 3 flooded, 2 nearest shelter out of reach, 1 looks safe and isn't, 0; di is t_aktual / t_ideal.
+    """Pseudo-safe status of rows (level, tergenang, t_ideal, t_aktual, t_pen): 3 flooded, 2 nearest shelter out of reach, 1 looks safe and isn't, 0.
 
-    Distances have a floor of 50 m. Sensitivities: limits of 20 and 40 minutes, the absolute rule, and the percentile rule
-    (t_ideal at most its 25th percentile and di at least its 75th, among reachable dry cells of the level; null if none).
+    t_aktual is at most t_pen, and a cell with that is out of reach; di is t_aktual / t_ideal of dry cells in reach.
+    Sensitivities: limits of 20 and 40 minutes, the absolute rule, and the percentile rule (t_ideal at most its 25th
+    percentile and di at least its 75th, among reachable dry cells of the level; null if there are none).
     """
-    reach = (F.col("tergenang") == 0) & F.col("t_aktual").isNotNull()
+    rows = rows.withColumn("t_aktual", F.least(F.coalesce("t_aktual", "t_pen"), F.col("t_pen")))
+    reach = (F.col("tergenang") == 0) & (F.col("t_aktual") < F.col("t_pen"))
     di = F.when(reach, F.col("t_aktual") / F.col("t_ideal"))
     rows = rows.withColumn("di", di)
     main = reach & (F.col("di") >= 2) & (F.col("t_ideal") <= 5)
     limits = rows.where(reach).groupBy("level").agg(F.percentile("t_ideal", 0.25).alias("p25"), F.percentile("di", 0.75).alias("p75"))
     rows = rows.join(F.broadcast(limits), "level", "left")
-    status = F.when(F.col("tergenang") == 1, 3).when(F.col("t_aktual").isNull(), 2).when(main & (F.col("t_aktual") >= EVACUATION), 1).otherwise(0)
+    status = F.when(F.col("tergenang") == 1, 3).when(~reach, 2).when(main & (F.col("t_aktual") >= EVACUATION), 1).otherwise(0)
     rule = lambda c: F.coalesce(c, F.lit(False))
-    return rows.select("*", status.alias("status"), *[rule(main & (F.col("t_aktual") >= t)).alias(f"tas{t}") for t in (20, 30, 40)], rule(main).alias("tas_absolut"), F.when(F.col("p25").isNotNull(), rule(reach & (F.col("t_ideal") <= F.col("p25")) & (F.col("di") >= F.col("p75")))).alias("tas_persentil"))
+    persentil = F.when(F.col("p25").isNotNull(), rule(reach & (F.col("t_ideal") <= F.col("p25")) & (F.col("di") >= F.col("p75"))))
+    return rows.select("*", status.alias("status"), *[rule(main & (F.col("t_aktual") >= t)).alias(f"tas{t}") for t in (20, 30, 40)], rule(main).alias("tas_absolut"), persentil.alias("tas_persentil"))
 
 
 def pseudo_safe_summary(rows: DataFrame) -> DataFrame:
-    q = F.percentile(F.when(F.col("status") < 2, F.col("di")), F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75), F.lit(0.9)))
+    """Counts and shares by status, quantiles of di in and outside the rule, medians, shelter categories (kategori), sensitivities and sanity counters."""
+    q = lambda c, name: F.percentile(F.when(c, F.col("di")), F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75), F.lit(0.9))).alias(name)
+    tas, dry, reach = F.col("status") == 1, F.col("status") != 3, F.col("status") < 2
     out = rows.groupBy("level").agg(
-        *[F.count_if(F.col("status") == s).alias(f"n{s}") for s in range(4)], *[F.count_if(c).alias(f"n_{c}") for c in ("tas20", "tas40", "tas_absolut", "tas_persentil")], q.alias("q"),
-        F.count_if((F.col("status") == 1) & F.col("tas_persentil")).alias("n_kedua"), F.count_if((F.col("status") != 1) & F.col("tas_persentil")).alias("n_hanya_persentil"), F.count_if((F.col("status") == 1) & ~F.col("tas_persentil")).alias("n_hanya_utama"),
-        F.percentile(F.when(F.col("status") == 1, F.col("t_aktual")), 0.5).alias("median_t"),
+        F.count("*").alias("n"), F.count_if(dry).alias("n_kering"), F.count_if(reach).alias("n_terjangkau"), *[F.count_if(F.col("status") == s).alias(f"n{s}") for s in range(4)],
+        *[F.count_if(c).alias(f"n_{c}") for c in ("tas20", "tas40", "tas_absolut", "tas_persentil")], F.count_if(tas & F.col("tas20")).alias("tetap20"), F.count_if(tas & F.col("tas40")).alias("tetap40"),
+        q(tas, "q1"), q(F.col("status") == 0, "q0"), q(F.col("tas_absolut"), "qa"), q(F.col("tas_persentil"), "qp"),
+        F.count_if(tas & F.col("tas_persentil")).alias("n_kedua"), F.count_if((F.col("status") != 1) & F.col("tas_persentil")).alias("n_hanya_persentil"), F.count_if(tas & ~F.col("tas_persentil")).alias("n_hanya_utama"),
+        F.percentile(F.when(tas, F.col("t_ideal")), 0.5).alias("median_t_ideal"), F.percentile(F.when(tas, F.col("t_aktual")), 0.5).alias("median_t"),
+        *[F.count_if(tas & (F.col("kategori") == k)).alias(f"n_tas_kat{k}") for k in range(CATEGORIES)], F.count_if(reach & (F.col("t_aktual") < F.col("t_ideal") - 1e-9)).alias("n_aktual_lt_ideal"),
     )
-    return out.select("level", *[f"n{s}" for s in range(4)], "n_tas20", "n_tas40", "n_tas_absolut", "n_tas_persentil", "n_kedua", "n_hanya_persentil", "n_hanya_utama", *[F.col("q")[i].alias(n) for i, n in enumerate(("di_p50", "di_p25", "di_p75", "di_p90"))], "median_t")
+    pct = lambda x, y: F.try_divide(100 * F.col(x), F.col(y))
+    shares = [pct("n1", "n").alias("pct_tas"), pct("n1", "n_kering").alias("pct_tas_kering"), pct("n1", "n_terjangkau").alias("pct_tas_terjangkau"), pct("n2", "n").alias("pct_tak_terjangkau"), pct("n3", "n").alias("pct_tergenang"), pct("tetap20", "n1").alias("pct_tetap20"), pct("tetap40", "n1").alias("pct_tetap40")]
+    quantiles = [F.col(x)[i].alias(f"di_{name}_{p}") for x, name in (("q1", "tas"), ("q0", "non"), ("qa", "absolut"), ("qp", "persentil")) for i, p in enumerate(("p50", "p25", "p75", "p90"))]
+    return out.select(*[c for c in out.columns if c not in ("q0", "q1", "qa", "qp", "tetap20", "tetap40")], *shares, *quantiles)
 
 
 def pseudo_safe_change(rows: DataFrame, base: str = "baseline") -> DataFrame:
@@ -195,23 +205,47 @@ def pseudo_safe_change(rows: DataFrame, base: str = "baseline") -> DataFrame:
 
 
 def attribution(rows: DataFrame, tolerance: float = 1.0, base: str = "baseline") -> DataFrame:
-    """Why a pseudo-safe cell of a level is one: set off by flood, made worse, unchanged, or else with the reason."""
+    """Why a pseudo-safe cell of a level is one: set off by flood, made worse, unchanged, or else with the reason.
+
+    The same shelter as at the base level comes first: only then do times compare. ``selisih`` is null where it differs.
+    """
     a = rows.where(F.col("level") == base).select("id", F.col("status").alias("sa"), F.col("t_aktual").alias("ta"), F.col("tes").alias("tes_a"))
     b = rows.where((F.col("level") != base) & (F.col("status") == 1)).select("id", "level", F.col("t_aktual").alias("tb"), F.col("tes").alias("tes_b"))
     d = F.col("tb") - F.col("ta")
-    same = F.col("tes_a") == F.col("tes_b")
+    same, was = F.coalesce(F.col("tes_a") == F.col("tes_b"), F.lit(False)), F.col("sa") == 1
     group = (
-        F.when((F.col("sa") == 2) | F.col("ta").isNull(), "lainnya: TES tidak terjangkau di Baseline")
-        .when((F.col("sa") == 0) & (F.col("ta") < EVACUATION), "dipicu banjir")
-        .when(F.col("sa") == 0, "lainnya: waktu Baseline di atas batas")
-        .when(~same, "lainnya: TES terdekat berubah")
-        .when(F.abs(d) <= tolerance, "tidak berubah")
-        .when(d > tolerance, "diperparah banjir")
-        .otherwise("lainnya: T_aktual turun")
+        F.when(~same, "lainnya: TES terdekat berubah")
+        .when(~was & (F.col("ta") < EVACUATION), "dipicu banjir")
+        .when(was & (d > tolerance), "diperparah banjir")
+        .when(was & (F.abs(d) <= tolerance), "tidak berubah")
+        .when(was, "lainnya: T_aktual turun")
+        .when(F.col("sa") == 2, "lainnya: TES tidak terjangkau di Baseline")
+        .otherwise("lainnya: waktu Baseline di atas batas")
     )
-    return b.join(a, "id").select("id", "level", group.alias("kelompok"), d.alias("selisih"))
+    return b.join(a, "id").select("id", "level", F.col("tes_b").alias("tes"), group.alias("kelompok"), F.when(same, F.col("ta")).alias("waktu_baseline"), F.col("tb").alias("waktu_level"), F.when(same, d).alias("selisih"))
+
+
+def closed_on_way(found: DataFrame, way: DataFrame, closed: DataFrame) -> DataFrame:
+    """``found`` of ``attribution`` with the number and metres of segments closed at the level on the base level's way.
+
+    ``way`` has id and eids at the base level, ``closed`` level, eid and metres. Null for other groups and where there
+    is no way.
+    """
+    need = found.where("kelompok in ('dipicu banjir', 'diperparah banjir')").select("id", "level").join(way.where("eids is not null").select("id", "eids"), "id")
+    on = need.select("id", "level", F.explode_outer("eids").alias("eid")).join(closed, ["level", "eid"], "left")
+    sums = on.groupBy("id", "level").agg(F.count("metres").alias("ruas_tertutup_n"), F.coalesce(F.sum("metres"), F.lit(0.0)).alias("ruas_tertutup_m"))
+    return found.join(sums, ["id", "level"], "left")
 
 
 def attribution_summary(found: DataFrame) -> DataFrame:
-    n = F.count("*")
-    return found.groupBy("level", "kelompok").agg(n.alias("n"), F.percentile("selisih", 0.5).alias("median")).withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy("level")))
+    """Per level and group, with the reason of others: n, share of the level's pseudo-safe cells, medians of base time, difference and closed segments."""
+    median = lambda c: F.percentile(c, 0.5)
+    out = found.groupBy("level", "kelompok").agg(F.count("*").alias("n"), median("selisih").alias("median"), median("waktu_baseline").alias("median_baseline"))
+    return out.withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy("level")))
+
+
+def attribution_frame(found: DataFrame, cells: DataFrame, levels: DataFrame) -> DataFrame:
+    """A row for every cell and level but the base, null where the cell isn't pseudo-safe; numbers half-even at three places."""
+    every = cells.select("id").join(F.broadcast(levels.where("ord > 0").select("level")), how="cross")
+    cols = [c for c in ("waktu_baseline", "selisih", "ruas_tertutup_n", "ruas_tertutup_m") if c in found.columns]
+    return every.join(found.select("id", "level", "kelompok", *[F.bround(F.col(c).cast("double"), 3).alias(c) for c in cols]), ["id", "level"], "left")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import END_EPS, SNAP
+from ..constants import BUFFER, END_EPS, SNAP, SPEED
+from ..sources.scratch import ship, shared_dir, written
 from .spatial import nearest_segment
 
 #: Edges of a group up to which one task solves it with a heap; groups beyond are solved by joins.
@@ -17,10 +17,10 @@ KERNEL_EDGES = 2_000_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage: a reliable checkpoint in the folder that the cluster shares (a temporary one where none is set)."""
+    """End the lineage: a reliable checkpoint in the folder that the cluster shares."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pacewise-cp-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -53,47 +53,73 @@ def snap(points: DataFrame, segments: DataFrame, by: list[str] = (), limit: floa
 
 
 def split_edges(segments: DataFrame, snapped: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Edges u, v, w of the network with the snapped places as nodes: touched segments fall into pieces that add up to them."""
+    """Edges u, v, w, eid of the network with the snapped places as nodes: touched segments fall into pieces that add up to them."""
     base = segments.select(*by, "eid", node(F.col("x1"), F.col("y1")).alias("a"), node(F.col("x2"), F.col("y2")).alias("b"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("len"))
     inner = snapped.where(F.col("nid").startswith("e")).select(*by, "eid", F.col("pos").cast("double").alias("p"), F.col("nid").alias("n")).distinct()
     stops = inner.unionByName(base.select(*by, "eid", F.lit(0.0).alias("p"), F.col("a").alias("n"))).unionByName(base.select(*by, "eid", F.col("len").alias("p"), F.col("b").alias("n")))
     along = Window.partitionBy(*by, "eid").orderBy("p", "n")
     pieces = stops.withColumn("n2", F.lead("n").over(along)).withColumn("p2", F.lead("p").over(along)).where("n2 is not null and n <> n2")
-    rows = pieces.select(*by, F.least("n", "n2").alias("u"), F.greatest("n", "n2").alias("v"), (F.col("p2") - F.col("p")).alias("w"))
-    return rows.groupBy(*by, "u", "v").agg(F.min("w").alias("w"))
+    rows = pieces.select(*by, "eid", F.least("n", "n2").alias("u"), F.greatest("n", "n2").alias("v"), (F.col("p2") - F.col("p")).alias("w"))
+    return rows.groupBy(*by, "u", "v").agg(F.min(F.struct("w", "eid")).alias("b")).select(*by, "u", "v", "b.w", "b.eid")
+
+
+class _Graph:
+    """Undirected edges of a group, with small numbers for its nodes."""
+
+    def __init__(self, edges: pd.DataFrame):
+        code, names = pd.factorize(pd.concat([edges["u"], edges["v"]], ignore_index=True), sort=True)
+        self.names = names.tolist()
+        self.number = {n: i for i, n in enumerate(self.names)}
+        half = len(edges)
+        self.near: list[list[tuple[int, float, int]]] = [[] for _ in self.names]
+        told = edges["eid"].tolist() if "eid" in edges.columns else [0] * half
+        for u, v, w, e in zip(code[:half].tolist(), code[half:].tolist(), edges["w"].tolist(), told, strict=True):
+            self.near[u].append((v, w, e))
+            self.near[v].append((u, w, e))
+
+    def add(self, name: str) -> int:
+        """Number of a node, which may have no edges."""
+        if name not in self.number:
+            self.number[name] = len(self.names)
+            self.names.append(name)
+            self.near.append([])
+        return self.number[name]
 
 
 def _solve(edges: pd.DataFrame, seeds: pd.DataFrame) -> dict:
-    near: dict = {}
-    for u, v, w in zip(edges["u"], edges["v"], edges["w"], strict=True):
-        near.setdefault(u, []).append((v, w))
-        near.setdefault(v, []).append((u, w))
-    best: dict = {}
-    heap = [(d, str(s), n, n, s) for n, d, s in zip(seeds["n"], seeds["d"], seeds["src"], strict=True)]
+    g = _Graph(edges)
+    # nodes in name order, so that ties between ways go to the smaller name as in the joins
+    start = [(d, str(s), n, s) for n, d, s in zip(seeds["n"], seeds["d"], seeds["src"], strict=True)]
+    best: dict[int, tuple] = {}
+    heap = [(d, key, g.names[i := g.add(n)], i, s) for d, key, n, s in start]
     heapq.heapify(heap)
+    near, names = g.near, g.names
     while heap:
-        d, key, n, prev, src = heapq.heappop(heap)
+        d, key, prev, n, src = heapq.heappop(heap)
         if n in best:
             continue
         best[n] = (d, prev, src)
-        for m, w in near.get(n, ()):
+        for m, w, _ in near[n]:
             if m not in best:
-                heapq.heappush(heap, (d + w, key, m, n, src))
-    return best
+                heapq.heappush(heap, (d + w, key, names[n], m, src))
+    return {names[n]: b for n, b in best.items()}
 
 
 def shortest(edges: DataFrame, seeds: DataFrame, by: list[str], kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """``by``, n, d, prev, src: distance of every node reachable from the seeds (``by``, n, d0 as d, src), from the nearest of them.
 
-    Edges (the columns of ``by`` that they have, u, v, w) are undirected. Groups with few edges are solved whole, a task
-    each; where one is too large, all are solved by rounds of joins with map-side minima.
+    Edges (the columns of ``by`` that they have, u, v, w) are undirected. Of equal ways that from the smaller source (as
+    text) counts, then that over the smaller node. Groups with few edges are solved whole, a task each; where one is
+    too large, all are solved by rounds of joins with map-side minima, with the same result.
     """
     own = [c for c in by if c in edges.columns]
+    edges = edges.select(*own, "u", "v", "w")
     largest = (edges.groupBy(*own).count().agg(F.max("count")) if own else edges.agg(F.count("*"))).first()[0] or 0
     if largest > kernel_edges:
         return shortest_by_joins(edges, seeds, by)
+    ship(edges.sparkSession)
     each = seeds.select(*[F.col(c).alias(c) for c in by]).distinct()  # aliases: both sides of the cogroup come from the seeds
-    spread = edges.join(F.broadcast(each), own) if own else edges.join(F.broadcast(each), how="cross")
+    spread = edges.join(each, own) if own else edges.join(F.broadcast(each), how="cross")
     kinds = {f.name: f.dataType.simpleString() for f in seeds.schema}
 
     def run(key, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -108,23 +134,84 @@ def shortest(edges: DataFrame, seeds: DataFrame, by: list[str], kernel_edges: in
 
 
 def shortest_by_joins(edges: DataFrame, seeds: DataFrame, by: list[str]) -> DataFrame:
-    """The same by frontier relaxation: improved nodes go over their edges, until none improves. A checkpoint every few rounds."""
+    """The same by frontier relaxation: nodes with a better way (distance, source, node before) go over their edges, until none improves."""
     own = [c for c in by if c in edges.columns]
-    both = edges.select(*own, "u", "v", "w").union(edges.select(*own, F.col("v"), F.col("u"), "w")).persist()
-    best = F.min(F.struct("d", F.col("src").cast("string").alias("k"), "src", "prev"))
+    both = _cut(edges.select(*own, "u", "v", "w").union(edges.select(*own, F.col("v"), F.col("u"), "w")))
+    best = F.min(F.struct("d", F.col("src").cast("string").alias("k"), "prev", "src"))
     keys = [*by, "n"]
     flat = [F.col("b.d").alias("d"), F.col("b.prev").alias("prev"), F.col("b.src").alias("src")]
     known = _cut(seeds.withColumn("prev", F.col("n")).groupBy(*keys).agg(best.alias("b")).select(*keys, *flat))
     front = known
+    way = lambda d, k, p: F.struct(F.col(d).alias("d"), F.col(k).cast("string").alias("k"), F.col(p).alias("p"))
     while front.head(1):
         steps = front.join(both.withColumnRenamed("u", "n"), [*own, "n"]).select(*by, F.col("v").alias("n"), (F.col("d") + F.col("w")).alias("d"), F.col("n").alias("prev"), "src")
         steps = steps.groupBy(*keys).agg(best.alias("b")).select(*keys, *flat)
-        old = known.select(*keys, F.col("d").alias("d_old"))
-        front = _cut(steps.join(old, keys, "left").where("d_old is null or d < d_old - 1e-12").drop("d_old"))
+        old = known.select(*keys, F.col("d").alias("d_old"), F.col("src").alias("s_old"), F.col("prev").alias("p_old"))
+        front = _cut(steps.join(old, keys, "left").where(F.col("d_old").isNull() | (way("d", "src", "prev") < way("d_old", "s_old", "p_old"))).drop("d_old", "s_old", "p_old"))
         known = _cut(known.join(front.select(*keys), keys, "left_anti").unionByName(front))
     return known
 
 
+def ways(edges: DataFrame, wants: DataFrame, path: bool = False) -> DataFrame:
+    """The columns of ``wants`` (level, id, src, n, sn and others) with net, the metres from node n to node sn, null if there is no way.
+
+    Each row asks for a way to a place of its own, so a search from every ``sn`` of a level ends when all who ask for it
+    are reached. Sources are dealt over tasks, each with the level's edges (level, u, v, w, eid). With ``path`` also
+    ``eids``, the distinct segments on the way, in its order from n; of equal ways that over the node that was reached
+    first, then the smaller, counts.
+    """
+    spark = edges.sparkSession
+    ship(spark)
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    asked = wants.withColumn("part", F.pmod(F.xxhash64("sn"), F.lit(parts)).cast("int"))
+    each = asked.select(F.col("level").alias("level"), F.col("part").alias("part")).distinct()  # levels x parts rows; aliases as in ``shortest``
+    spread = edges.select("level", "u", "v", "w", "eid").join(F.broadcast(each), "level")
+
+    def run(key, e: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        g = _Graph(e)
+        near, names = g.near, g.names
+        net: list[float | None] = [None] * len(w)
+        eids: list[list[int] | None] = [None] * len(w)
+        w = w.reset_index(drop=True)
+        for sn, own in w.groupby("sn", sort=True):
+            start = g.add(sn)
+            targets: dict[int, list[int]] = {}
+            for k, n in zip(own.index.tolist(), own["n"].tolist(), strict=True):
+                targets.setdefault(g.add(n), []).append(k)
+            left = set(targets)
+            done: dict[int, tuple[float, int, int]] = {}
+            heap = [(0.0, names[start], start, start, -1)]
+            while heap and left:
+                d, _, n, prev, eid = heapq.heappop(heap)
+                if n in done:
+                    continue
+                done[n] = (d, prev, eid)
+                left.discard(n)
+                for m, length, by in near[n]:
+                    if m not in done:
+                        heapq.heappush(heap, (d + length, names[n], m, n, by))
+            for n, asking in targets.items():
+                if n not in done:
+                    continue
+                found = [] if path else None
+                at = n
+                while path and at != start:
+                    _, at, eid = done[at]
+                    if eid not in found[-1:]:
+                        found.append(eid)
+                for k in asking:
+                    net[k], eids[k] = done[n][0], found
+        out = w[list(columns)].copy()
+        out["net"] = net
+        if path:
+            out["eids"] = [None if x is None else list(dict.fromkeys(x)) for x in eids]
+        return out
+
+    columns = wants.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wants.schema) + ", net double" + (", eids array<bigint>" if path else "")
+    return spread.groupBy("level", "part").cogroup(asked.groupBy("level", "part")).applyInPandas(run, schema)
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component: the smallest node reachable over edges (a, b). With ``nodes`` (node), lone ones are themselves."""
     live = _cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -171,19 +258,43 @@ def without(edges: DataFrame, cuts: DataFrame) -> DataFrame:
     return edges.join(gone, ["u", "v"], "left_anti")
 
 
-def network_times(cells: DataFrame, status: DataFrame, segments: DataFrame, speed: float = 80.0) -> DataFrame:
-    """id, level, kategori, minutes, tes: (leg + network + leg) / speed from each cell to the nearest valid shelter of each category.
+def network(cells: DataFrame, status: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Legs (level, pid, n, leg) of cells ("c" and id) and shelters ("s" and id) onto the open roads, the split edges, and the valid shelters with their pid.
 
-    ``segments`` has level, eid and ends of the open roads of each level; ``status`` the shelters by level. Places more
-    than 300 m from an open road have no time. Cells and shelters become nodes of the split network.
+    Places more than 300 m from an open road have no leg. All are tables of the shared folder.
     """
     pts = cells.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("pid"), F.col("cx").alias("px"), F.col("cy").alias("py"))
     sites = status.where("is_valid").select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"), "level", "kategori", F.col("id").alias("src"))
     places = pts.unionByName(sites.select("pid", "px", "py").distinct())
-    snapped = snap(places, segments, ["level"]).persist()
-    edges = split_edges(segments, snapped, ["level"]).persist()
-    leg = snapped.select("level", "pid", F.col("nid").alias("n"), "d")
-    seeds = sites.select("level", "kategori", "pid", "src").join(leg, ["level", "pid"]).groupBy("level", "kategori", "n").agg(F.min(F.struct("d", "src")).alias("b")).select("level", "kategori", "n", F.col("b.d").alias("d"), F.col("b.src").alias("src"))
+    snapped = written(snap(places, segments, ["level"]).select("level", "pid", "eid", "pos", "nid", "d"), "snapped")
+    edges = written(split_edges(segments, snapped, ["level"]), "edges")
+    return snapped.select("level", "pid", F.col("nid").alias("n"), F.col("d").alias("leg")), edges, sites
+
+
+def network_times(cells: DataFrame, status: DataFrame, segments: DataFrame, speed: float = SPEED, net: tuple | None = None) -> DataFrame:
+    """id, level, kategori, minutes, tes: (leg + network + leg) / speed from each cell to the nearest valid shelter of each category.
+
+    ``segments`` has level, eid and ends of the open roads of each level; ``status`` the shelters by level. Cells and
+    shelters become nodes of the split network; ``net`` is that of ``network`` if it is there already.
+    """
+    legs, edges, sites = net or network(cells, status, segments)
+    seeds = sites.select("level", "kategori", "pid", "src").join(legs, ["level", "pid"]).groupBy("level", "kategori", "n").agg(F.min(F.struct("leg", "src")).alias("b")).select("level", "kategori", "n", F.col("b.leg").alias("d"), F.col("b.src").alias("src"))
     found = shortest(edges, seeds, ["level", "kategori"])
-    ends = leg.where(F.col("pid").startswith("c")).select("level", F.substring("pid", 2, 20).cast("bigint").alias("id"), "n", F.col("d").alias("leg"))
+    ends = legs.where(F.col("pid").startswith("c")).select("level", F.substring("pid", 2, 20).cast("bigint").alias("id"), "n", "leg")
     return ends.join(found, ["level", "n"]).select("id", "level", "kategori", ((F.col("leg") + F.col("d")) / speed).alias("minutes"), F.col("src").alias("tes"))
+
+
+def own_shelter(cells: DataFrame, status: DataFrame, near: DataFrame, net: tuple, speed: float = SPEED, path: bool = False) -> DataFrame:
+    """id, level, tes, t_ideal, t_aktual (null where the nearest shelter is out of reach): the walk to each cell's own nearest shelter.
+
+    ``near`` has id, level, tes and d, the straight distance. Distances of both have a floor of 50 m. With ``path`` also
+    eids, the segments on the way.
+    """
+    legs, edges, _ = net
+    at = lambda kind, n, leg: legs.where(F.col("pid").startswith(kind)).select("level", F.substring("pid", 2, 20).cast("bigint").alias("id" if kind == "c" else "tes"), F.col("n").alias(n), F.col("leg").alias(leg))
+    wants = near.join(at("c", "n", "leg"), ["level", "id"]).join(at("s", "sn", "leg2"), ["level", "tes"])
+    found = ways(edges, wants.select("level", "id", "tes", "n", "sn", (F.col("leg") + F.col("leg2")).alias("legs")), path)
+    found = found.select("level", "id", "net", "legs", *(["eids"] if path else []))
+    akt = F.greatest(F.col("legs") + F.col("net"), F.lit(BUFFER)) / speed
+    out = near.join(found, ["level", "id"], "left").withColumn("t_ideal", F.greatest("d", F.lit(BUFFER)) / speed).withColumn("t_aktual", F.when(F.col("net").isNotNull(), akt))
+    return out.select("id", "level", "tes", "t_ideal", "t_aktual", *(["eids"] if path else []))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SNAP
+from ..sources.scratch import written
 
 
 def _ring() -> Column:
@@ -24,36 +25,41 @@ def within(points: DataFrame, sites: DataFrame, limit: float, by: list[str] = ()
     return around(points, sites, limit, by).where(F.col("d") <= limit)
 
 
-def nearest(points: DataFrame, sites: DataFrame, k: int = 1, start: float = 500.0, by: list[str] = (), apart: bool = False, rounds: int = 24) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, k: int = 1, start: float = 500.0, by: list[str] = (), apart: bool = False) -> DataFrame:
     """The ``k`` nearest sites of each point, with rank; ties go to the smaller sid.
 
     Bins double until each point has k sites no farther than the bin is wide (which no site outside its ring can beat)
-    or its ring holds all sites. ``apart`` leaves out the site with the point's own id.
+    or its ring holds all sites. ``apart`` leaves out the site with the point's own id. Points without a place or a site
+    have no rows.
     """
     keys = ["pid", *by]
-    total = sites.groupBy(*by).count().withColumnRenamed("count", "_all") if by else None
-    n_all = None if by else sites.count()
+    total = sites.groupBy(*by).agg(F.count("*").alias("_all")) if by else sites.agg(F.count("*").alias("_all"))
+    edge = lambda df, x, y: df.agg(*[f(c) for c in (x, y) for f in (F.min, F.max)]).first()
+    p, s = edge(points, "px", "py"), edge(sites, "sx", "sy")
+    if p[0] is None or s[0] is None:
+        return points.join(sites.drop(*by), F.lit(False)).withColumn("d", F.lit(0.0)).withColumn("rank", F.lit(1))
+    span = max(max(p[1], s[1]) - min(p[0], s[0]), max(p[3], s[3]) - min(p[2], s[2]))
     left, size, out = points, start, None
     order = Window.partitionBy(*keys).orderBy("d", "sid")
-    for _ in range(rounds):
+    while True:
         pairs = around(left, sites, size, list(by))
         if apart:
             pairs = pairs.where("pid <> sid")
         top = pairs.withColumn("rank", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("rank") <= k)
+        last = size > span  # the ring holds every site
+        if last and out is None:
+            return top.drop("_n")
         kth = top.groupBy(*keys).agg(F.max("d").alias("_far"), F.count("*").alias("_k"), F.first("_n").alias("_n"))
-        if by:
-            kth = kth.join(F.broadcast(total), list(by))
-        every = F.col("_all") if by else F.lit(n_all)
-        done = kth.where(((F.col("_k") >= k) & (F.col("_far") <= size)) | (F.col("_n") >= every - (1 if apart else 0))).select(*keys)
-        got = top.join(done, keys).drop("_n")
-        got.persist()
+        kth = kth.join(total, list(by)) if by else kth.join(F.broadcast(total), how="cross")
+        done = kth.where(F.lit(last) | ((F.col("_k") >= k) & (F.col("_far") <= size)) | (F.col("_n") >= F.col("_all") - (1 if apart else 0))).select(*keys)
+        got = written(top.join(done, keys).drop("_n"), "nearest")
         out = got if out is None else out.unionByName(got)
-        left = left.join(done, keys, "left_anti")
-        left.persist()
-        if not left.head(1):
-            break
-        size *= 2
-    return out
+        if last:
+            return out
+        rest = written(left.join(got.select(*keys), keys, "left_anti"), "nearest-left")
+        if not rest.head(1):
+            return out
+        left, size = rest, 2 * size
 
 
 def segment_pairs(points: DataFrame, segments: DataFrame, limit: float = SNAP) -> DataFrame:
@@ -120,6 +126,6 @@ def rook(cells: DataFrame) -> DataFrame:
 
 def gaussian_weights(pairs: DataFrame) -> DataFrame:
     """w = exp(-d^2 / 2 s^2) of neighbour pairs (grp, i, j, d), s the group's mean distance; the weights of each i sum to 1."""
-    sigma = F.avg("d").over(Window.partitionBy("grp"))
-    raw = pairs.withColumn("_s", sigma).withColumn("_w", F.exp(-(F.col("d") * F.col("d")) / (2 * F.col("_s") * F.col("_s"))))
+    sigma = pairs.groupBy("grp").agg(F.avg("d").alias("_s"))  # a row for each group, with partial sums
+    raw = pairs.join(F.broadcast(sigma), "grp").withColumn("_w", F.exp(-(F.col("d") * F.col("d")) / (2 * F.col("_s") * F.col("_s"))))
     return raw.withColumn("w", F.col("_w") / F.sum("_w").over(Window.partitionBy("grp", "i"))).drop("_s", "_w")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import access, hazard
+from ..operators import access, graph, hazard, spatial
+from ..sources import scratch
 from ..sources import tables as t
 from .registry import query, r
 
@@ -16,12 +17,31 @@ hit as (select distinct s.id, w.level from shelter s join wet w on w.tergenang =
   and pow(greatest(abs(w.cx - s.x) - 50, 0), 2) + pow(greatest(abs(w.cy - s.y) - 50, 0), 2) <= 2500),
 status as (select s.id, s.kategori, s.x, s.y, s.hazard, l.level, l.ord, case when h.id is not null then greatest(s.hazard, 3) else s.hazard end hazard_eff, (case when h.id is not null then greatest(s.hazard, 3) else s.hazard end) < 2 is_valid
   from shelter s cross join level l left join hit h on h.id = s.id and h.level = l.level)"""
-TIMES = (
+NORM = "(case hazard when 0 then 0 when 1 then 0.33 when 2 then 0.67 else 1 end)::double"
+#: The open network of each level with cells and shelters snapped to it, and the distances from the shelters of each category.
+NET = (
     WET
+    + f""",
+open_ as (select l.level, r.id eid, r.x1, r.y1, r.x2, r.y2, sqrt(pow(r.x2 - r.x1, 2) + pow(r.y2 - r.y1, 2)) len, printf('%.2f', x1) || '_' || printf('%.2f', y1) a, printf('%.2f', x2) || '_' || printf('%.2f', y2) b from road r, level l where not {NORM} * l.intensity >= 0.2),
+place as (select 'c' || id pid, cx px, cy py from cell union all select 's' || id, x, y from shelter),
+pair as (select p.pid, p.px, p.py, o.*, least(greatest(((p.px - o.x1) * (o.x2 - o.x1) + (p.py - o.y1) * (o.y2 - o.y1)) / (pow(o.x2 - o.x1, 2) + pow(o.y2 - o.y1, 2)), 0), 1) tt from place p
+  join open_ o on p.px between least(o.x1, o.x2) - 300 and greatest(o.x1, o.x2) + 300 and p.py between least(o.y1, o.y2) - 300 and greatest(o.y1, o.y2) + 300),
+snap0 as (select level, pid, eid, a, b, len, tt * len pos, sqrt(pow(px - (x1 + tt * (x2 - x1)), 2) + pow(py - (y1 + tt * (y2 - y1)), 2)) d from pair),
+snap as materialized (select level, pid, s.eid, s.d, s.nid, s.p from (select level, pid, arg_min(struct_pack(eid := eid, d := d, p := round_even(pos, 3), nid := case when pos <= 0.001 then a when len - pos <= 0.001 then b
+  else 'e' || eid || '@' || printf('%.3f', round_even(pos, 3)) end), struct_pack(x := round(d, 9), y := eid)) s from snap0 where d <= 300 group by level, pid)),
+stop as (select distinct level, eid, p, nid n from snap where nid like 'e%' union all select level, eid, 0.0, a from open_ union all select level, eid, len, b from open_),
+piece as (select level, eid, n, p, lead(n) over w n2, lead(p) over w p2 from stop window w as (partition by level, eid order by p, n)),
+net as materialized (select level, least(n, n2) u, greatest(n, n2) v, min(p2 - p) w from piece where n2 is not null and n <> n2 group by all),
+arc as materialized (select level, u a, v b, w from net union all select level, v, u, w from net),
+seed as (select st.level, st.kategori, s.nid n, min(s.d) d from status st join snap s on s.level = st.level and s.pid = 's' || st.id where st.is_valid group by all),
+dist(level, kategori, n, d) using key (level, kategori, n) as (select level, kategori, n, d from seed union select s.level, s.kategori, e.b, min(s.d + e.w) from dist s join arc e on e.level = s.level and e.a = s.n
+  left join recurring.dist o on o.level = s.level and o.kategori = s.kategori and o.n = e.b where o.d is null or s.d + e.w < o.d group by s.level, s.kategori, e.b)"""
+)
+TIMES = (
+    NET
     + """,
-near as (select c.id, s.id sid, s.kategori, sqrt(pow(c.cx - s.x, 2) + pow(c.cy - s.y, 2)) d from cell c join shelter s on abs(c.cx - s.x) <= 1200 and abs(c.cy - s.y) <= 1200 where sqrt(pow(c.cx - s.x, 2) + pow(c.cy - s.y, 2)) <= 1200),
-times as (select n.id, st.level, n.kategori, min(d) * 1.3 / 80 as minutes from near n join status st on st.id = n.sid and st.is_valid group by all),
-pen as (select coalesce(max(case when minutes > 0 and minutes < 8999.1 then minutes end), 60.0) t_max from times where level = 'baseline'),
+times as materialized (select cast(substr(c.pid, 2) as bigint) id, c.level, x.kategori, (c.d + x.d) / 80 as minutes from snap c join dist x on x.level = c.level and x.n = c.nid where c.pid like 'c%'),
+pen as materialized (select coalesce(max(case when minutes > 0 and minutes < 8999.1 then minutes end), 60.0) t_max from times where level = 'baseline'),
 wide as (select w.id, w.level, w.ord, w.tergenang, w.hazard, w.col, w."row", w.density, 3 * t_max t_pen,
   least(coalesce(min(case when kategori = 0 then minutes end), 9999.0), 3 * any_value(t_max)) w0, least(coalesce(min(case when kategori = 1 then minutes end), 9999.0), 3 * any_value(t_max)) w1, least(coalesce(min(case when kategori = 2 then minutes end), 9999.0), 3 * any_value(t_max)) w2,
   least(coalesce(min(case when kategori = 3 then minutes end), 9999.0), 3 * any_value(t_max)) w3, least(coalesce(min(case when kategori = 4 then minutes end), 9999.0), 3 * any_value(t_max)) w4
@@ -29,16 +49,23 @@ wide as (select w.id, w.level, w.ord, w.tergenang, w.hazard, w.col, w."row", w.d
 frame0 as (select *, least(w0, w1, w2, w3, w4) wmin, (w0 < t_pen)::int + (w1 < t_pen)::int + (w2 < t_pen)::int + (w3 < t_pen)::int + (w4 < t_pen)::int opsi from wide),
 frame as (select *, case when opsi = 0 then 1 else 0 end terisolasi, cast((col // 5 + "row" // 5) % 4 as int) as label, case when tergenang = 1 then 4 else cast((col // 5 + "row" // 5) % 4 as int) end state, cast(id % 25 as int) region from frame0)"""
 )
+#: The walk to each cell's own nearest shelter: distances from every shelter that a cell asks for.
 PSEUDO = (
     TIMES
     + """,
-ideal as (select n.id, st.level, min(d) d from near n join status st on st.id = n.sid and st.is_valid group by all),
-ps0 as (select f.id, f.level, f.ord, f.tergenang, greatest(d, 50) / 80 t_ideal, case when (f.id * 13) % 17 <> 0 then greatest(d, 50) / 80 * (1 + ((f.id * 7 + f.ord * 11) % 40) / 4.0::double) end t_aktual,
-  cast((f.id + case when f.id % 11 = 0 then f.ord else 0 end) % 50 as int) tes from frame f join ideal i on i.id = f.id and i.level = f.level),
-ps1 as (select *, tergenang = 0 and t_aktual is not null reach, case when tergenang = 0 then t_aktual / t_ideal end di from ps0),
+nt as materialized (select c.id, st.level, arg_min(st.id, struct_pack(a := sqrt(pow(c.cx - st.x, 2) + pow(c.cy - st.y, 2)), b := st.id)) tes, min(sqrt(pow(c.cx - st.x, 2) + pow(c.cy - st.y, 2))) d from cell c, status st where st.is_valid group by c.id, st.level),
+want as materialized (select nt.id, nt.level, nt.tes, c.nid n, c.d + s.d legs, s.nid sn from nt join snap c on c.level = nt.level and c.pid = 'c' || nt.id join snap s on s.level = nt.level and s.pid = 's' || nt.tes),
+gid as materialized (select level, n, cast(row_number() over () as int) g from (select level, u n from net union select level, v from net union select level, nid from snap)),
+garc as materialized (select x.g a, y.g b, e.w from arc e join gid x on x.level = e.level and x.n = e.a join gid y on y.level = e.level and y.n = e.b),
+src as materialized (select w.level, w.sn, g.g from (select distinct level, sn from want) w join gid g on g.level = w.level and g.n = w.sn),
+own(s, n, d) using key (s, n) as (select g, g, 0.0::double from src union select o.s, e.b, min(o.d + e.w) from own o join garc e on e.a = o.n left join recurring.own k on k.s = o.s and k.n = e.b where k.d is null or o.d + e.w < k.d group by o.s, e.b),
+got as materialized (select w.id, w.level, w.legs + o.d m from want w join src on src.level = w.level and src.sn = w.sn join gid on gid.level = w.level and gid.n = w.n join own o on o.s = src.g and o.n = gid.g),
+ps0 as (select f.id, f.level, f.ord, f.tergenang, f.t_pen, f.wmin, f.terisolasi, f.state, f.region, nt.tes, cast(nt.tes % 5 as int) kategori, greatest(nt.d, 50) / 80 t_ideal, least(coalesce(case when got.m is not null then greatest(got.m, 50) / 80 end, f.t_pen), f.t_pen) t_aktual
+  from frame f left join nt on nt.id = f.id and nt.level = f.level left join got on got.id = f.id and got.level = f.level),
+ps1 as (select *, tergenang = 0 and t_aktual < t_pen reach, case when tergenang = 0 and t_aktual < t_pen then t_aktual / t_ideal end di from ps0),
 lim as (select level, quantile_cont(t_ideal, 0.25) p25, quantile_cont(di, 0.75) p75 from ps1 where reach group by level),
-ps as (select ps1.*, coalesce(reach and di >= 2 and t_ideal <= 5, false) main0, coalesce(reach and di >= 2 and t_ideal <= 5 and t_aktual >= 20, false) tas20, coalesce(reach and di >= 2 and t_ideal <= 5 and t_aktual >= 40, false) tas40,
-  case when tergenang = 1 then 3 when t_aktual is null then 2 when di >= 2 and t_ideal <= 5 and t_aktual >= 30 then 1 else 0 end status,
+ps as materialized (select ps1.*, coalesce(reach and di >= 2 and t_ideal <= 5, false) main0, coalesce(reach and di >= 2 and t_ideal <= 5 and t_aktual >= 20, false) tas20, coalesce(reach and di >= 2 and t_ideal <= 5 and t_aktual >= 40, false) tas40,
+  case when tergenang = 1 then 3 when not reach then 2 when di >= 2 and t_ideal <= 5 and t_aktual >= 30 then 1 else 0 end status,
   case when p25 is not null then coalesce(reach and t_ideal <= p25 and di >= p75, false) end tas_persentil from ps1 left join lim using (level))"""
 )
 
@@ -49,30 +76,70 @@ def views(spark, sf):
     return c, lv, hazard.flooded(c, lv), hazard.shelter_status(t.shelters(spark, sf), c, lv)
 
 
+def open_roads(spark, sf, cut=None):
+    """Segments that are open at each level, without those that ``cut`` says."""
+    rows = hazard.road_status(t.roads(spark, sf), t.levels(spark)).where("not is_closed")
+    return (rows if cut is None else rows.where(~cut)).select("level", F.col("id").alias("eid"), "x1", "y1", "x2", "y2")
+
+
+def kept(spark, sf, name, build):
+    """A table of the analysis that many queries read: computed once for the same files."""
+    return scratch.kept(spark, name, [f"{sf}/part.parquet", f"{sf}/supplier.parquet"], build)
+
+
+def network(spark, sf):
+    """Legs, split edges and shelters of the open network of each level."""
+    c, _, _, status = views(spark, sf)
+    sites = status.where("is_valid").select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"), "level", "kategori", F.col("id").alias("src"))
+    pts = c.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("pid"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    places = pts.unionByName(sites.select("pid", "px", "py").distinct())
+    snapped = kept(spark, sf, "snapped", lambda: graph.snap(places, open_roads(spark, sf), ["level"]).select("level", "pid", "eid", "pos", "nid", "d"))
+    edges = kept(spark, sf, "edges", lambda: graph.split_edges(open_roads(spark, sf), snapped, ["level"]))
+    return snapped.select("level", "pid", F.col("nid").alias("n"), F.col("d").alias("leg")), edges, sites
+
+
+def times(spark, sf):
+    """Minutes from each cell to the nearest valid shelter of each category, over the network."""
+    c, _, _, status = views(spark, sf)
+    return kept(spark, sf, "times", lambda: graph.network_times(c, status, open_roads(spark, sf), net=network(spark, sf)))
+
+
 def frame(spark, sf):
     """Feature frame with label, state and region."""
-    c, lv, wet, status = views(spark, sf)
-    times = access.straight_times(c, status)
-    f = access.frame(c, wet, times, lv, access.t_max(times))
-    label = F.expr("cast((col div 5 + row div 5) % 4 as int)")
-    f = f.join(c.select("id", label.alias("label"), (F.col("id") % 25).cast("int").alias("region")), "id")
-    return f.withColumn("state", F.when(F.col("tergenang") == 1, 4).otherwise(F.col("label")))
 
+    def build():
+        c, _, wet, _ = views(spark, sf)
+        minutes = times(spark, sf)
+        label = F.expr("cast((col div 5 + row div 5) % 4 as int)")
+        f = access.frame(wet, minutes, access.t_max(minutes)).join(c.select("id", label.alias("label"), (F.col("id") % 25).cast("int").alias("region")), "id")
+        return f.withColumn("state", F.when(F.col("tergenang") == 1, 4).otherwise(F.col("label")))
 
-def pseudo(spark, sf):
-    c, lv, wet, status = views(spark, sf)
-    pts = c.select(F.col("id").alias("pid"), F.col("cx").alias("px"), F.col("cy").alias("py"))
-    sites = status.where("is_valid").groupBy("id", "x", "y").agg(F.collect_list("level").alias("lv")).select(F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"), "lv")
-    from ..operators.spatial import within
+    return kept(spark, sf, "frame", build)
 
-    near = within(pts, sites, 1200.0).select("pid", "d", F.explode("lv").alias("level")).groupBy(F.col("pid").alias("id"), "level").agg(F.min("d").alias("d"))
-    rows = near.join(wet.select("id", "level", "ord", "tergenang"), ["id", "level"]).withColumn("t_ideal", F.greatest("d", F.lit(50.0)) / 80)
-    akt = F.when((F.col("id") * 13) % 17 != 0, F.col("t_ideal") * (1 + ((F.col("id") * 7 + F.col("ord") * 11) % 40) / F.lit(4.0)))
-    tes = ((F.col("id") + F.when(F.col("id") % 11 == 0, F.col("ord")).otherwise(0)) % 50).cast("int")
-    return access.pseudo_safe(rows.select("id", "level", "ord", "tergenang", "t_ideal", akt.alias("t_aktual"), tes.alias("tes")))
 
+def nearest_site(spark, sf):
+    """id, level, tes, d: the nearest valid shelter of each cell along the straight line."""
+    c, lv, _, status = views(spark, sf)
+    pts = c.select(F.col("id").alias("pid"), F.col("cx").alias("px"), F.col("cy").alias("py")).join(F.broadcast(lv.select("level")), how="cross")
+    sites = status.where("is_valid").select("level", F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    return spatial.nearest(pts, sites, 1, by=["level"]).select(F.col("pid").alias("id"), "level", F.col("sid").alias("tes"), "d")
 
-NORM = "(case hazard when 0 then 0 when 1 then 0.33 when 2 then 0.67 else 1 end)::double"
+
+def own_shelter(spark, sf, path=False):
+    """The walk to each cell's own nearest shelter; with ``path`` the segments on it."""
+    c, _, _, status = views(spark, sf)
+    near = kept(spark, sf, "near", lambda: nearest_site(spark, sf))
+    if path:
+        return graph.own_shelter(c, status, near.where("level = 'baseline'"), network(spark, sf), path=True)
+    return kept(spark, sf, "own", lambda: graph.own_shelter(c, status, near, network(spark, sf)))
+
+
+def pseudo(spark, sf):
+    """Pseudo-safe status of every cell at each level."""
+    f = frame(spark, sf).select("id", "level", "tergenang", "t_pen", "wmin", "terisolasi", "state", "region").join(F.broadcast(t.levels(spark).select("level", "ord")), "level")
+    kind = t.shelters(spark, sf).select(F.col("id").alias("tes"), "kategori")
+    rows = f.join(own_shelter(spark, sf), ["id", "level"], "left").join(kind, "tes", "left")
+    return access.pseudo_safe(rows)
 
 
 @query("road_closed_by_level", f"select level, count(*) n, count_if({NORM} * intensity >= 0.2) n_tutup from road, level group by level")
@@ -111,8 +178,7 @@ def _(spark, sf):
 
 @query("t_penalty", f"select {r('t_max as t_max', '3 * t_max as t_pen')} from pen", TIMES)
 def _(spark, sf):
-    c, _, _, status = views(spark, sf)
-    return access.t_max(access.straight_times(c, status))
+    return access.t_max(times(spark, sf))
 
 
 @query("level_accessibility", f"select id, level, tergenang, hazard, {r('density as density', 't_pen as t_pen', 'w0 as w0', 'w1 as w1', 'w2 as w2', 'w3 as w3', 'w4 as w4', 'wmin as wmin')}, opsi, terisolasi from frame", TIMES)
@@ -125,17 +191,17 @@ def _(spark, sf):
     return frame(spark, sf).where("tergenang = 0").groupBy("level").agg(F.count("*").alias("n"), F.sum("wmin").alias("total"))
 
 
-ACCESS = "case when tergenang = 1 then 3 when wmin >= t_pen - 1e-9 then 2 when wmin > 10 then 1 else 0 end"
+ACCESS = "case when tergenang = 1 then 3 when wmin >= t_pen - 1e-9 then 2 when wmin > 30 then 1 else 0 end"
 
 
 @query("access_category_by_level", f"select id, level, {ACCESS} kelas from frame", TIMES)
 def _(spark, sf):
-    return frame(spark, sf).select("id", "level", access.access_class(F.col("wmin"), F.col("tergenang"), F.col("t_pen"), 10.0).alias("kelas"))
+    return frame(spark, sf).select("id", "level", access.access_class(F.col("wmin"), F.col("tergenang"), F.col("t_pen")).alias("kelas"))
 
 
 @query("access_summary", f"select l.level, k.k kelas, count(f.id) n, {r('100.0 * count(f.id) / sum(count(f.id)) over (partition by l.level) as pct')} from level l cross join (select cast(range as int) k from range(4)) k left join (select id, level, {ACCESS} kelas from frame) f on f.level = l.level and f.kelas = k.k group by l.level, k.k", TIMES)
 def access_summary(spark, sf):
-    rows = frame(spark, sf).select("id", "level", access.access_class(F.col("wmin"), F.col("tergenang"), F.col("t_pen"), 10.0).alias("kelas"))
+    rows = frame(spark, sf).select("id", "level", access.access_class(F.col("wmin"), F.col("tergenang"), F.col("t_pen")).alias("kelas"))
     return access.class_counts(rows, ["level"], "kelas", 4)
 
 
@@ -188,12 +254,16 @@ def _(spark, sf):
     return access.transitions(shifting(spark, sf), 4)
 
 
-@query("transition_summary", f"""select m.level, cast(sum(case when a < 4 and b = 4 then n else 0 end) as bigint) masuk, cast(sum(case when a = 4 and b < 4 then n else 0 end) as bigint) keluar, cast(sum(case when a < 4 and b < 4 then n else 0 end) as bigint) kering,
+_MOVED = "a <> b and n > 0"
+
+
+@query("transition_summary", f"""select m.level, cast(sum(n) as bigint) n_grid, cast(sum(case when a < 4 and b = 4 then n else 0 end) as bigint) masuk, {r('100.0 * sum(case when a < 4 and b = 4 then n else 0 end) / sum(n) as masuk_pct', '100.0 * sum(case when a < 4 and b = 4 then n else 0 end) / nullif(sum(case when a < 4 then n else 0 end), 0) as masuk_pct_kering')},
+  cast(sum(case when a = 4 and b < 4 then n else 0 end) as bigint) keluar, cast(sum(case when a < 4 and b < 4 then n else 0 end) as bigint) kering,
   {r('100.0 * sum(case when a < 4 and a = b then n else 0 end) / nullif(sum(case when a < 4 and b < 4 then n else 0 end), 0) as stabil_pct')},
-  arg_max(a, struct_pack(n := n, x := -a, y := -b)) filter (a < 4 and b < 4 and a <> b and n > 0) dari, arg_max(b, struct_pack(n := n, x := -a, y := -b)) filter (a < 4 and b < 4 and a <> b and n > 0) ke, max(n) filter (a < 4 and b < 4 and a <> b and n > 0) n_dominan,
-  count_if(a < 4 and b < 4 and a <> b and n > 0) n_sisi, cast(sum(case when a < 4 and b < 4 and a <> b then n else 0 end) as bigint) pindah,
-  {r('any_value(c.v) as cdvm', 'any_value(ar.v) as ari')}
-  from mat m left join (select level, 0.5 * sum(abs(nb - na)) / nullif(sum(na), 0) v from (select level, k, sum(case when a = k then n else 0 end) na, sum(case when b = k then n else 0 end) nb from mat, (select k from dim where k < 4) where a < 4 and b < 4 group by all) group by level) c using (level)
+  arg_max(a, struct_pack(n := n, x := -a, y := -b)) filter ({_MOVED}) dari, arg_max(b, struct_pack(n := n, x := -a, y := -b)) filter ({_MOVED}) ke, max(n) filter ({_MOVED}) n_dominan,
+  case when max(n) filter ({_MOVED}) is not null then case when arg_max(b, struct_pack(n := n, x := -a, y := -b)) filter ({_MOVED}) = 4 then 'Tergenang' else 'tipologi lain' end end menuju,
+  count_if({_MOVED}) n_sisi, count_if({_MOVED} and a < 4 and b < 4) n_sisi_tipologi, cast(sum(case when a <> b then n else 0 end) as bigint) pindah, {r('any_value(c.v) as cdvm', 'any_value(ar.v) as ari')}
+  from mat m left join (select level, 0.5 * sum(abs(nb - na)) / nullif(sum(na), 0) v from (select level, k, sum(case when a = k then n else 0 end) na, sum(case when b = k then n else 0 end) nb from mat, dim group by all) group by level) c using (level)
   left join (select level, (s - sa * sb / (tt * (tt - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (tt * (tt - 1) / 2)) v from (select level, sum(n * (n - 1) / 2.0) s, sum(n)::double tt from mat where a < 4 and b < 4 group by level) join (select level, sum(m * (m - 1) / 2.0) sa from (select level, a, sum(n)::double m from mat where a < 4 and b < 4 group by all) group by level) using (level)
     join (select level, sum(m * (m - 1) / 2.0) sb from (select level, b, sum(n)::double m from mat where a < 4 and b < 4 group by all) group by level) using (level)) ar using (level) group by m.level""", TRANS)
 def _(spark, sf):
@@ -206,10 +276,11 @@ def _(spark, sf):
     return access.rand_index(ct, [])
 
 
-@query("region_stats", f"""select region, level, count(*) n, count_if(state = 0) c0, count_if(state = 1) c1, count_if(state = 2) c2, count_if(state = 3) c3, cast(sum(tergenang) as bigint) n_tergenang, cast(sum(case when tergenang = 0 then terisolasi else 0 end) as bigint) n_terisolasi,
-  {r('avg(wmin) filter (tergenang = 0) as mean_w')}, cast(list_position([count_if(state = 0), count_if(state = 1), count_if(state = 2), count_if(state = 3)], list_max([count_if(state = 0), count_if(state = 1), count_if(state = 2), count_if(state = 3)])) - 1 as int) dominan, {r('100.0 * sum(tergenang) / count(*) as pct_tergenang')} from frame group by region, level""", TIMES)
+@query("region_stats", f"""select region, level, count(*) n, count_if(state = 0) c0, count_if(state = 1) c1, count_if(state = 2) c2, count_if(state = 3) c3, count_if(status = 1) n_tas, cast(sum(tergenang) as bigint) n_tergenang, cast(sum(terisolasi) as bigint) n_terisolasi,
+  {r('avg(wmin) as mean_w')}, cast(list_position([count_if(state = 0), count_if(state = 1), count_if(state = 2), count_if(state = 3)], list_max([count_if(state = 0), count_if(state = 1), count_if(state = 2), count_if(state = 3)])) - 1 as int) dominan,
+  {r('100.0 * sum(terisolasi) / count(*) as pct_terisolasi', '100.0 * sum(tergenang) / count(*) as pct_tergenang', '100.0 * count_if(status = 1) / count(*) as pct_tas', '100.0 * count_if(state = 3) / count(*) as pct_kritis')} from ps group by region, level""", PSEUDO)
 def _(spark, sf):
-    return access.by_region(frame(spark, sf), 4)
+    return access.by_region(pseudo(spark, sf), 4)
 
 
 @query("tas_detect", f"select id, level, {r('t_ideal as t_ideal', 't_aktual as t_aktual', 'case when reach then di end as di')}, status, tas20, tas40, main0 tas_absolut, tas_persentil from ps", PSEUDO)
@@ -217,9 +288,14 @@ def _(spark, sf):
     return pseudo(spark, sf).select("id", "level", "t_ideal", "t_aktual", "di", "status", "tas20", "tas40", "tas_absolut", "tas_persentil")
 
 
-@query("tas_summary", f"""select level, count_if(status = 0) n0, count_if(status = 1) n1, count_if(status = 2) n2, count_if(status = 3) n3, count_if(tas20) n_tas20, count_if(tas40) n_tas40, count_if(main0) n_tas_absolut, count_if(tas_persentil) n_tas_persentil,
-  count_if(status = 1 and tas_persentil) n_kedua, count_if(status <> 1 and tas_persentil) n_hanya_persentil, count_if(status = 1 and not tas_persentil) n_hanya_utama,
-  {r('quantile_cont(case when status < 2 then di end, 0.5) as di_p50', 'quantile_cont(case when status < 2 then di end, 0.25) as di_p25', 'quantile_cont(case when status < 2 then di end, 0.75) as di_p75', 'quantile_cont(case when status < 2 then di end, 0.9) as di_p90', 'quantile_cont(case when status = 1 then t_aktual end, 0.5) as median_t')} from ps group by level""", PSEUDO)
+_Q = lambda cond, name: [f"quantile_cont(di, {x}) filter ({cond}) as di_{name}_{p}" for p, x in (("p50", 0.5), ("p25", 0.25), ("p75", 0.75), ("p90", 0.9))]
+_PCT = lambda x, y, name: f"100.0 * count_if({x}) / nullif(count_if({y}), 0) as pct_{name}"
+
+
+@query("tas_summary", f"""select level, count(*) n, count_if(status <> 3) n_kering, count_if(status < 2) n_terjangkau, count_if(status = 0) n0, count_if(status = 1) n1, count_if(status = 2) n2, count_if(status = 3) n3, count_if(tas20) n_tas20, count_if(tas40) n_tas40, count_if(main0) n_tas_absolut, count_if(tas_persentil) n_tas_persentil,
+  count_if(status = 1 and tas_persentil) n_kedua, count_if(status <> 1 and tas_persentil) n_hanya_persentil, count_if(status = 1 and not tas_persentil) n_hanya_utama, {', '.join(f'count_if(status = 1 and kategori = {k}) n_tas_kat{k}' for k in range(5))}, count_if(reach and t_aktual < t_ideal - 1e-9) n_aktual_lt_ideal,
+  {r(*_Q('status = 1', 'tas'), *_Q('status = 0', 'non'), *_Q('main0', 'absolut'), *_Q('tas_persentil', 'persentil'), 'quantile_cont(t_ideal, 0.5) filter (status = 1) as median_t_ideal', 'quantile_cont(t_aktual, 0.5) filter (status = 1) as median_t', _PCT('status = 1', 'true', 'tas'), _PCT('status = 1', 'status <> 3', 'tas_kering'), _PCT('status = 1', 'status < 2', 'tas_terjangkau'),
+     _PCT('status = 2', 'true', 'tak_terjangkau'), _PCT('status = 3', 'true', 'tergenang'), _PCT('status = 1 and tas20', 'status = 1', 'tetap20'), _PCT('status = 1 and tas40', 'status = 1', 'tetap40'))} from ps group by level""", PSEUDO)
 def _(spark, sf):
     return access.pseudo_safe_summary(pseudo(spark, sf))
 
@@ -243,21 +319,36 @@ def _(spark, sf):
 
 
 ATTR = PSEUDO + """,
-attr as (select q.id, q.level, q.t_aktual - p.t_aktual selisih, case when p.status = 2 or p.t_aktual is null then 'lainnya: TES tidak terjangkau di Baseline' when p.status = 0 and p.t_aktual < 30 then 'dipicu banjir' when p.status = 0 then 'lainnya: waktu Baseline di atas batas'
-  when p.tes <> q.tes then 'lainnya: TES terdekat berubah' when abs(q.t_aktual - p.t_aktual) <= 1 then 'tidak berubah' when q.t_aktual - p.t_aktual > 1 then 'diperparah banjir' else 'lainnya: T_aktual turun' end kelompok
+attr as (select q.id, q.level, q.tes, case when p.tes = q.tes then p.t_aktual end waktu_baseline, q.t_aktual waktu_level, case when p.tes = q.tes then q.t_aktual - p.t_aktual end selisih, case when coalesce(p.tes <> q.tes, true) then 'lainnya: TES terdekat berubah' when p.status <> 1 and p.t_aktual < 30 then 'dipicu banjir'
+  when p.status = 1 and q.t_aktual - p.t_aktual > 1 then 'diperparah banjir' when p.status = 1 and abs(q.t_aktual - p.t_aktual) <= 1 then 'tidak berubah' when p.status = 1 then 'lainnya: T_aktual turun'
+  when p.status = 2 then 'lainnya: TES tidak terjangkau di Baseline' else 'lainnya: waktu Baseline di atas batas' end kelompok
   from ps p join ps q on p.id = q.id and p.level = 'baseline' and q.level <> 'baseline' and q.status = 1)"""
 
 
-@query("flood_attribution", f"select id, level, kelompok, {r('selisih as selisih')} from attr", ATTR)
-def _(spark, sf):
+@query("flood_attribution", f"select id, level, tes, kelompok, {r('waktu_baseline as waktu_baseline', 'waktu_level as waktu_level', 'selisih as selisih')} from attr", ATTR)
+def attribution(spark, sf):
     return access.attribution(pseudo(spark, sf))
 
 
-@query("attribution_summary", f"select level, kelompok, count(*) n, {r('quantile_cont(selisih, 0.5) as median', '100.0 * count(*) / sum(count(*)) over (partition by level) as pct')} from attr group by level, kelompok", ATTR)
+@query("attribution_summary", f"select level, kelompok, count(*) n, {r('quantile_cont(selisih, 0.5) as median', 'quantile_cont(waktu_baseline, 0.5) as median_baseline', '100.0 * count(*) / sum(count(*)) over (partition by level) as pct')} from attr group by level, kelompok", ATTR)
 def _(spark, sf):
     return access.attribution_summary(access.attribution(pseudo(spark, sf)))
 
 
+@query("closed_on_route")
+def closed_on_route(spark, sf):
+    """Attribution of every pseudo-safe cell with the segments closed at the level on its Baseline way."""
+    s = hazard.road_status(t.roads(spark, sf), t.levels(spark)).where("is_closed")
+    shut = s.select("level", F.col("id").alias("eid"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("metres"))
+    return access.closed_on_way(access.attribution(pseudo(spark, sf)), own_shelter(spark, sf, path=True), shut)
+
+
+@query("attribution_frame")
+def _(spark, sf):
+    """Attribution as columns of every cell, empty where it isn't pseudo-safe."""
+    return access.attribution_frame(closed_on_route(spark, sf), t.cells(spark, sf), t.levels(spark))
+
+
 @query("roads_status", f"select level, id, hazard from road, level where {NORM} * intensity >= 0.2 or id % 97 = 0", "")
 def _(spark, sf):
     s = hazard.road_status(t.roads(spark, sf), t.levels(spark))

@@ -439,14 +439,12 @@ def _(spark, sf):
 
 @query("simulate_cut")
 def _(spark, sf):
-    """What-if: network access at one level with some roads cut, as access classes."""
-    from ..operators import access, graph, hazard
-    from .access import views
+    """What-if: access classes at every level with some roads cut; the penalty stays that of the uncut base level."""
+    from ..operators import access, graph
+    from .access import open_roads, times, views
 
     c, lv, wet, status = views(spark, sf)
-    lv = lv.where("level in ('baseline', 'rendah')")
-    open_ = hazard.road_status(t.roads(spark, sf), lv).where("not is_closed and id % 97 <> 0").select("level", F.col("id").alias("eid"), "x1", "y1", "x2", "y2")
-    times = graph.network_times(c, status.join(F.broadcast(lv.select("level")), "level"), open_).persist()
-    f = access.frame(c, wet, times, lv, access.t_max(times))
+    cut = graph.network_times(c, status, open_roads(spark, sf, F.col("id") % 97 == 0))
+    f = access.frame(wet, cut, access.t_max(times(spark, sf)))
     rows = f.select("id", "level", access.access_class(F.col("wmin"), F.col("tergenang"), F.col("t_pen")).alias("kelas"))
     return access.class_counts(rows, ["level"], "kelas", 4)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, hazard, spatial
 from ..sources import tables as t
-from .access import WET, views
+from .access import TIMES, WET, times, views
 from .registry import query, r
 
 NODE = lambda x, y: f"printf('%.2f', {x}) || '_' || printf('%.2f', {y})"
@@ -163,13 +163,10 @@ def routes(spark, sf):
     return path.groupBy("pid").agg(F.count("*").alias("n_simpul"), F.max_by("n", "step").alias("ujung"))
 
 
-@query("network_level_access")
+@query("network_level_access", f"select level, kategori, count(*) n, {r('avg(minutes) as mean')} from times group by level, kategori", TIMES)
 def network(spark, sf):
     """Reachable cells and mean network minutes for each level and category."""
-    c, lv, _, status = views(spark, sf)
-    open_ = hazard.road_status(t.roads(spark, sf), lv).where("not is_closed").select("level", F.col("id").alias("eid"), "x1", "y1", "x2", "y2")
-    times = graph.network_times(c, status, open_)
-    return times.groupBy("level", "kategori").agg(F.count("*").alias("n"), F.avg("minutes").alias("mean"))
+    return times(spark, sf).groupBy("level", "kategori").agg(F.count("*").alias("n"), F.avg("minutes").alias("mean"))
 
 
 BLOCKS = ROOK + """, lab as (select id, cast((col // 3 + "row" // 4) % 4 as int) as label from cell), same as (select i, j from rook join lab a on a.id = i join lab b on b.id = j where a.label = b.label),

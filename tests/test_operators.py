@@ -70,8 +70,43 @@ def test_shortest_by_joins_equals_kernel(spark):
     e = [(f"n{a}", f"n{b}", float(w)) for a, b, w in zip(g.integers(0, 40, 70), g.integers(0, 40, 70), g.integers(1, 30, 70), strict=True) if a != b]
     edges = spark.createDataFrame(e, "u string, v string, w double").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("w").alias("w"))
     seeds = spark.createDataFrame([(0, "n1", 0.0, 5), (0, "n2", 3.0, 6), (1, "n3", 1.0, 7)], "k int, n string, d double, src int")
-    a = rows(graph.shortest(edges, seeds, ["k"]), "k", "n", "d")
-    assert a == rows(graph.shortest_by_joins(edges, seeds, ["k"]), "k", "n", "d") and len(a) > 30
+    cols = ("k", "n", "d", "prev", "src")
+    a = rows(graph.shortest(edges, seeds, ["k"]), *cols)
+    assert a == rows(graph.shortest_by_joins(edges, seeds, ["k"]), *cols) and len(a) > 30
+    even = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "e", 1.0), ("d", "e", 1.0)], "u string, v string, w double")
+    two = spark.createDataFrame([(0, "a", 0.0, 10), (0, "d", 0.0, 9)], "k int, n string, d double, src int")
+    assert rows(graph.shortest(even, two, ["k"]), *cols) == rows(graph.shortest_by_joins(even, two, ["k"]), *cols)
+
+
+def test_pseudo_safe_over_the_network(spark):
+    lines = [(k, 100.0 * k, 0.0, 100.0 * (k + 1), 0.0) for k in range(20)] + [(20, 2000.0, 0.0, 2000.0, 150.0), (21, 2000.0, 150.0, 1050.0, 150.0)]
+    net = spark.createDataFrame([("baseline", *s) for s in lines], "level string, " + SEGMENTS)
+    places = [(100.0 * k, 20.0) for k in range(21)] + [(1050.0, 170.0), (1060.0, 165.0), (5000.0, 5000.0)]
+    cells = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(places)], "id long, cx double, cy double")
+    st = spark.createDataFrame([(1, 0, 1000.0, 0.0, "baseline", True)], "id long, kategori int, x double, y double, level string, is_valid boolean")
+    near = spark.createDataFrame([(i, "baseline", 1, math.hypot(x - 1000, y)) for i, (x, y) in enumerate(places)], "id long, level string, tes long, d double")
+    own = graph.own_shelter(cells, st, near, graph.network(cells, st, net), path=True)
+    way = {r["id"]: r["eids"] for r in own.collect()}
+    flagged = {}
+    for wet in (set(), {3, 21}):
+        rows_ = own.join(spark.createDataFrame([(i, int(i in wet)) for i in range(24)], "id long, tergenang int"), "id").withColumn("t_pen", F.lit(400.0)).withColumn("kategori", F.lit(0))
+        got = {r["id"]: r for r in access.pseudo_safe(rows_).collect()}
+        assert got[23]["status"] == 2 and got[23]["di"] is None and min(r["t_ideal"] for r in got.values()) == 50 / 80
+        assert all(r["t_aktual"] >= r["t_ideal"] - 1e-9 for i, r in got.items() if i < 23)
+        flagged[len(wet)] = {i for i, r in got.items() if r["status"] == 1}
+        assert {i for i, r in got.items() if r["status"] == 3} == wet
+        assert all(got[i]["di"] is None for i in wet)
+    far = next(r for r in access.pseudo_safe(own.withColumn("tergenang", F.lit(0)).withColumn("t_pen", F.lit(400.0))).collect() if r["id"] == 21)
+    assert far["di"] >= 2 and far["t_ideal"] <= 5 and far["t_aktual"] < 30 and far["status"] == 0 and far["tas_absolut"]
+    assert way[0] == list(range(10)) and way[10] == [] and way[23] is None and way[21] == [21, 20, *range(19, 9, -1)]
+
+
+def test_closed_segments_on_the_way(spark):
+    found = spark.createDataFrame([(0, "tinggi", "dipicu banjir"), (1, "tinggi", "diperparah banjir"), (2, "tinggi", "tidak berubah"), (3, "tinggi", "dipicu banjir")], "id long, level string, kelompok string")
+    way = spark.createDataFrame([(0, [0, 1, 2, 3]), (1, [0, 1]), (2, [2]), (3, None)], "id long, eids array<bigint>")
+    shut = spark.createDataFrame([("tinggi", 2, 250.0), ("rendah", 1, 250.0)], "level string, eid long, metres double")
+    got = {r["id"]: (r["ruas_tertutup_n"], r["ruas_tertutup_m"]) for r in access.closed_on_way(found, way, shut).collect()}
+    assert got == {0: (1, 250.0), 1: (0, 0.0), 2: (None, None), 3: (None, None)}
 
 
 def test_split_adds_up(spark):
@@ -99,8 +134,10 @@ def test_attribution(spark):
     cases = [(0, 0, 10.0, "a", 1, 45.0, "a"), (1, 1, 35.0, "a", 1, 60.0, "a"), (2, 1, 40.0, "a", 1, 40.8, "a"), (3, 1, 40.0, "a", 1, 41.0, "b"), (4, 1, 50.0, "a", 1, 45.0, "a"), (5, 0, 31.0, "a", 1, 35.0, "a"), (6, 2, 403.0, "a", 1, 60.0, "a"), (7, 0, 5.0, "a", 0, 5.0, "a"), (8, 1, 40.0, "a", 1, 41.0, "a"), (9, 1, 40.0, "a", 1, 41.01, "a")]
     df = spark.createDataFrame([(c[0], lv, c[k], c[k + 1], c[k + 2]) for c in cases for lv, k in (("baseline", 1), ("tinggi", 4))], "id int, level string, status int, t_aktual double, tes string")
     got = {r["id"]: r["kelompok"] for r in access.attribution(df).collect()}
+    other = spark.createDataFrame([(0, "baseline", 0, 10.0, "a"), (0, "tinggi", 1, 45.0, "b"), (1, "baseline", 0, 10.0, None), (1, "tinggi", 1, 45.0, "b")], "id int, level string, status int, t_aktual double, tes string")
+    assert {r["kelompok"] for r in access.attribution(other).collect()} == {"lainnya: TES terdekat berubah"}
     assert got[0] == "dipicu banjir" and got[1] == got[9] == "diperparah banjir" and got[2] == got[8] == "tidak berubah" and 7 not in got
-    assert got[3].endswith("berubah") and got[4].endswith("turun") and got[5].endswith("batas") and got[6].endswith("Baseline")
+    assert got[3] == "lainnya: TES terdekat berubah" and got[4].endswith("turun") and got[5].endswith("batas") and got[6].endswith("Baseline")
 
 
 def test_transitions(spark):
