@@ -37,11 +37,11 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/pacewise/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and its lineage ends here."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

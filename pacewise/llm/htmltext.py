@@ -589,7 +589,7 @@ def extract(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html").withColumn("host", host(F.col("url")))
     refs = written(_reference(rows), "html-refs")
-    both = written(aligned(rows, _sized(refs, "ref")), "html-aligned")
+    both = written(aligned(rows, _sized(refs, "ref")), "html-aligned", "zstd")
     fixed = written(templates(both), "html-templates")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -602,6 +602,5 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": df["page_id"].astype("Int64"), "url": df["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     whole = both.where("script is not null").select("page_id", "url", "host", "script").join(_sized(fixed, "constants"), "host", "left").select("page_id", "url", "script", "constants")
-    out = written(whole.mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint"), "html-texts")
-    forget(pages.sparkSession, refs, both, fixed)
-    return out
+    forget(pages.sparkSession, refs)
+    return whole.mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")
