@@ -126,23 +126,67 @@ def blocks(labels: DataFrame, adjacency: DataFrame) -> DataFrame:
     return labels.join(comp.select(F.col("node").alias("id"), F.col("component").alias("block")), "id")
 
 
-def desc_contribution(rows: DataFrame, blk: DataFrame) -> DataFrame:
-    """label, block, n, mean distance to the block's own centre, for blocks of two rows or more."""
-    r = rows.join(blk.select("id", "block"), "id").select("id", "label", "block", "x")
-    c = centroids(r.select(F.col("block").alias("label"), "x")).where("n > 1").select(F.col("label").alias("block"), "n", "c")
-    return r.join(c, "block").groupBy("label", "block", "n").agg(F.avg(dist(F.col("x"), F.col("c"))).alias("dbar"))
-
-
 def similarity(x: Column) -> Column:
     return 1 / (1 + x * x)
 
 
-def pesc_blocks(rows: DataFrame, blk: DataFrame) -> DataFrame:
-    """Similarity of every block's rows to its centre and its share of its label: homogeneity and contiguity per label."""
-    g = _mean(rows)
-    s = rows.join(F.broadcast(g), how="cross").agg(F.avg(dist(F.col("x"), F.col("g"))).alias("s"))
-    r = rows.join(blk.select("id", "block"), "id").select("id", "label", "block", "x")
-    c = centroids(r.select(F.col("block").alias("label"), "x")).select(F.col("label").alias("block"), F.col("n").alias("bn"), "c")
-    hom = r.join(c, "block").join(F.broadcast(s), how="cross").groupBy("label", "block", "bn").agg(F.avg(similarity(F.try_divide(dist(F.col("x"), F.col("c")), F.col("s")))).alias("hom"))
-    total = F.sum("bn").over(Window.partitionBy("label"))
-    return hom.withColumn("q", F.col("bn") / total).groupBy("label").agg(F.sum(F.col("q") * F.col("q")).alias("contiguity"), F.sum(F.col("q") * F.col("hom")).alias("homogeneity"), F.count("*").alias("n_blocks"))
+def block_table(rows: DataFrame, blk: DataFrame) -> DataFrame:
+    """label, block, v (rows), share (of its label), c (centre of x), dbar (mean distance to it), and the centre's place if rows have cx and cy."""
+    r = rows.join(blk.select("id", "block"), "id")
+    c = centroids(r.select(F.col("block").alias("label"), "x")).select(F.col("label").alias("block"), F.col("n").alias("v"), "c")
+    place = [F.avg(k).alias(k) for k in ("cx", "cy") if k in r.columns]
+    out = r.join(c, "block").groupBy("label", "block", "v").agg(F.avg(dist(F.col("x"), F.col("c"))).alias("dbar"), F.first("c").alias("c"), *place)
+    own = out.groupBy("label").agg(F.sum("v").alias("cn"))  # a row for each label
+    return out.join(F.broadcast(own), "label").withColumn("share", F.col("v") / F.col("cn"))
+
+
+def desc_contribution(table: DataFrame) -> DataFrame:
+    """What each block of ``block_table`` adds to DESC: share squared over dbar squared, for blocks of two rows or more whose rows differ."""
+    ok = (F.col("v") >= 2) & (F.col("dbar") > 1e-9)
+    return table.withColumn("kontribusi", F.when(ok, F.col("share") * F.col("share") / (F.col("dbar") * F.col("dbar"))).otherwise(0.0))
+
+
+def largest_blocks(table: DataFrame, most: int = 3000) -> DataFrame:
+    """The largest blocks of each label, the smaller number first on a tie: pairs are defined on so many."""
+    order = Window.partitionBy("label").orderBy(F.desc("v"), "block")
+    return table.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+
+
+def _block_pairs(table: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairs of blocks of one label, each once."""
+    a, b = (table.select("label", *[F.col(k).alias(f"{k}{s}") for k in ("block", "share", "c", *cols)]) for s in "ab")
+    return a.join(b, "label").where("blocka < blockb")
+
+
+def desc_pesc(table: DataFrame) -> DataFrame:
+    """DESC, the sum of the blocks' contributions, and PESC: over pairs of a label's blocks, shares over distance of places (km), of centres and the number of blocks."""
+    desc = desc_contribution(table).agg(F.sum("kontribusi").alias("desc"))
+    count = table.groupBy("label").agg(F.count("*").alias("bn"))
+    p = _block_pairs(largest_blocks(table), ["cx", "cy"]).join(F.broadcast(count), "label")
+    under = F.hypot((F.col("cxa") - F.col("cxb")) / 1000, (F.col("cya") - F.col("cyb")) / 1000) * dist(F.col("ca"), F.col("cb")) * F.col("bn")
+    pesc = p.withColumn("under", under).where("under > 1e-12").agg(F.coalesce(F.sum(F.col("sharea") * F.col("shareb") / F.col("under")), F.lit(0.0)).alias("pesc"))
+    return desc.join(pesc, how="cross")
+
+
+def scale(rows: DataFrame) -> DataFrame:
+    """One row with s, the mean distance of the rows to their mean."""
+    return rows.join(F.broadcast(_mean(rows)), how="cross").agg(F.avg(dist(F.col("x"), F.col("g"))).alias("s"))
+
+
+def desc_pesc_n(rows: DataFrame, blk: DataFrame, near: DataFrame, cell: float = 100.0) -> DataFrame:
+    """DESC-N, PESC-N, contiguity and homogeneity, each weighted by the labels' sizes; s and the number of blocks.
+
+    A block's distance is dbar / s, 1 for a single row. ``near`` has a, b (blocks, a < b) and d, the smallest distance of
+    their cells; it counts in cells, 1 at least. A label of one block has a PESC-N of 1.
+    """
+    table = block_table(rows, blk).join(F.broadcast(scale(rows)), how="cross")
+    far = F.when(F.col("v") == 1, 1.0).otherwise(F.coalesce(F.try_divide("dbar", "s"), F.lit(0.0)))
+    table = table.withColumn("g", similarity(far))
+    per = table.groupBy("label").agg(F.first("cn").alias("cn"), F.count("*").alias("bn"), F.first("s").alias("s"), F.sum(F.col("share") * F.col("share")).alias("kont"), F.sum(F.col("share") * F.col("g")).alias("homo"), F.sum(F.col("share") * F.col("share") * F.col("g")).alias("desc"))
+    p = _block_pairs(table, ["s"]).join(near.select(F.col("a").alias("blocka"), F.col("b").alias("blockb"), "d"), ["blocka", "blockb"])
+    w = F.col("sharea") * F.col("shareb")
+    like = similarity(F.coalesce(F.try_divide(dist(F.col("ca"), F.col("cb")), F.col("sa")), F.lit(0.0))) / F.greatest(F.col("d") / cell, F.lit(1.0))
+    pairs = p.groupBy("label").agg((F.sum(w * like) / F.sum(w)).alias("p"))
+    every = per.join(F.broadcast(pairs), "label", "left").withColumn("p", F.when(F.col("bn") < 2, 1.0).otherwise(F.col("p")))
+    mean = lambda c: F.sum(F.col("cn") * F.col(c)) / F.sum("cn")
+    return every.agg(mean("desc").alias("desc_n"), mean("p").alias("pesc_n"), mean("kont").alias("kontiguitas"), mean("homo").alias("homogenitas"), F.first("s").alias("s"), F.sum("bn").alias("n_blok"))

@@ -11,7 +11,7 @@ from .access import TIMES, frame
 from .registry import query, r
 from .space import ROOK, blocks, knn
 
-E = ", e as (select vec_id id, label, list_transform(embedding[1:6], lambda x: x::double) x from embeddings where vec_id < 100000), ct as (select label, count(*) n, " + ", ".join(f"avg(x[{j}]) c{j}" for j in range(1, 7)) + " from e group by label), g as (select " + ", ".join(f"avg(x[{j}]) g{j}" for j in range(1, 7)) + " from e)"
+E = ", e as (select vec_id id, label, list_transform(embedding[1:6], lambda x: x::double) x from embeddings), ct as (select label, count(*) n, " + ", ".join(f"avg(x[{j}]) c{j}" for j in range(1, 7)) + " from e group by label), g as (select " + ", ".join(f"avg(x[{j}]) g{j}" for j in range(1, 7)) + " from e)"
 D = lambda a, b: "sqrt(" + " + ".join(f"pow({a.format(j=j)} - {b.format(j=j)}, 2)" for j in range(1, 7)) + ")"
 XC, XG, CG = D("e.x[{j}]", "ct.c{j}"), D("e.x[{j}]", "g.g{j}"), D("ct.c{j}", "g.g{j}")
 CC = D("a.c{j}", "b.c{j}")
@@ -23,21 +23,30 @@ def vectors(spark, sf):
     return t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform(F.slice("embedding", 1, 6), lambda v: v.cast("double")).alias("x"))
 
 
-SAMPLE = "(select * from e order by (id * 2654435761 + 42) % 4294967296, id limit 300)"
+SAMPLE = lambda n, seed=42: f"(select * from e order by (id * 2654435761 + {seed}) % 4294967296, id limit {n})"
 
 
-def sample(spark, sf):
-    return vectors(spark, sf).orderBy(F.pmod(F.col("id") * 2654435761 + 42, F.lit(4294967296)), "id").limit(300)
+def sample(spark, sf, n, seed=42):
+    """So many rows by a seeded hash: pair metrics are defined on samples, exact below that size."""
+    return vectors(spark, sf).orderBy(F.pmod(F.col("id") * 2654435761 + seed, F.lit(4294967296)), "id").limit(n)
 
 
-@query("silhouette", f"select {r('avg(case when a is null or b is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end) as silhouette')} from (select id, min(m) filter (la = lb) a, min(m) filter (la <> lb) b from (select a.id, a.label la, b.label lb, avg({XX}) m from {SAMPLE} a join {SAMPLE} b on a.id <> b.id group by all) group by id)", E)
+@query("silhouette", f"select {r('avg(case when a is null or b is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end) as silhouette')} from (select id, min(m) filter (la = lb) a, min(m) filter (la <> lb) b from (select a.id, a.label la, b.label lb, avg({XX}) m from {SAMPLE(10000)} a join {SAMPLE(10000)} b on a.id <> b.id group by all) group by id)", E)
 def _(spark, sf):
-    return validity.silhouette(sample(spark, sf))
+    return validity.silhouette(sample(spark, sf, 10_000))
 
 
-@query("dunn", f"select {r('min(d) filter (la <> lb) / max(d) filter (la = lb) as dunn')} from (select a.label la, b.label lb, {XX} d from {SAMPLE} a join {SAMPLE} b on a.id <> b.id)", E)
+_DUNN = " union all ".join(f"(select min(d) filter (la <> lb) / max(d) filter (la = lb) v from (select a.label la, b.label lb, {XX} d from {SAMPLE(2000, seed)} a join {SAMPLE(2000, seed)} b on a.id <> b.id))" for seed in range(42, 47))
+
+
+@query("dunn", f"select {r('avg(v) as dunn', 'stddev_samp(v) as sd')} from ({_DUNN})", E)
 def _(spark, sf):
-    return validity.dunn(sample(spark, sf))
+    """Mean and deviation over five samples."""
+    out = None
+    for seed in range(42, 47):
+        one = validity.dunn(sample(spark, sf, 2000, seed))
+        out = one if out is None else out.union(one)
+    return out.agg(F.avg("dunn").alias("dunn"), F.stddev_samp("dunn").alias("sd"))
 
 
 @query("calinski", f"select {r('b * (n - k) / (w * (k - 1)) as ch')} from (select sum(n * pow({CG}, 2)) b, count(*) k, sum(n) n from ct, g), (select sum(pow({XC}, 2)) w from e join ct using (label))", E)
@@ -176,21 +185,6 @@ def _(spark, sf):
     return spark.createDataFrame([(float(own), float(p))], "moran_i double, p double")
 
 
-@query("block_profile")
-def _(spark, sf):
-    """Homogeneity and contiguity of the blocks of each label."""
-    b = blocks(spark, sf)
-    c = t.cells(spark, sf).select("id", F.expr("cast((col div 3 + row div 4) % 4 as int)").alias("label"), F.array("density", (F.col("hazard") / 3.0)).alias("x"))
-    return validity.pesc_blocks(c, b)
-
-
-@query("top_blocks")
-def _(spark, sf):
-    b = blocks(spark, sf)
-    c = t.cells(spark, sf).select("id", F.expr("cast((col div 3 + row div 4) % 4 as int)").alias("label"), F.array("density", (F.col("hazard") / 3.0)).alias("x"))
-    return ranking.top_share(validity.desc_contribution(c, b), "dbar", 10, "block")
-
-
 # ---------------------------------------------------------------- numbering and rankings
 
 
@@ -400,25 +394,49 @@ def _(spark, sf):
 
 DESC = LABELS + """, same as (select i, j from rook join lab a on a.id = i join lab b on b.id = j where a.label = b.label),
 comp(id, c) using key (id) as (select id, id from lab union select s.j, min(p.c) from comp p join same s on s.i = p.id left join recurring.comp o on o.id = s.j where p.c < o.c group by s.j),
-bx as (select lab.id, lab.label, comp.c as block, density x1, hazard / 3.0::double x2 from lab join comp using (id) join cell using (id)),
-bc as (select block, count(*) n, avg(x1) c1, avg(x2) c2 from bx group by block)"""
+bx as materialized (select lab.id, lab.label, comp.c as block, density x1, hazard / 3.0::double x2, cx, cy from lab join comp using (id) join cell using (id)),
+bc as (select block, count(*) v, avg(x1) c1, avg(x2) c2, avg(cx) mx, avg(cy) my from bx group by block),
+bt as materialized (select label, block, v, v / sum(v) over (partition by label)::double as share, sum(v) over (partition by label) cn, c1, c2, mx, my, dbar from (select label, block, v, c1, c2, mx, my, avg(sqrt(pow(x1 - c1, 2) + pow(x2 - c2, 2))) dbar from bx join bc using (block) group by all)),
+kon as (select *, case when v >= 2 and dbar > 1e-9 then share * share / (dbar * dbar) else 0 end kontribusi from bt),
+sc as (select avg(sqrt(pow(x1 - g1, 2) + pow(x2 - g2, 2))) s from bx, (select avg(x1) g1, avg(x2) g2 from bx)),
+bd as materialized (select a.block a, b.block b, min(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2))) d from bx a join bx b on a.label = b.label and a.block < b.block group by all),
+bp as (select a.label, a.share * b.share w, sqrt(pow(a.c1 - b.c1, 2) + pow(a.c2 - b.c2, 2)) da, sqrt(pow(a.mx - b.mx, 2) + pow(a.my - b.my, 2)) / 1000 dm, bd.d, count(*) over (partition by a.label) np from bt a join bt b on a.label = b.label and a.block < b.block join bd on bd.a = a.block and bd.b = b.block)"""
 
 
 def block_rows(spark, sf):
     c = t.cells(spark, sf)
-    return c.select("id", F.expr("cast((col div 3 + row div 4) % 4 as int)").alias("label"), F.array("density", (F.col("hazard") / 3.0)).alias("x")), blocks(spark, sf)
+    return c.select("id", F.expr("cast((col div 3 + row div 4) % 4 as int)").alias("label"), F.array("density", (F.col("hazard") / 3.0)).alias("x"), "cx", "cy"), blocks(spark, sf)
 
 
-@query("desc_pesc", f"select label, block, n, {r('avg(sqrt(pow(x1 - c1, 2) + pow(x2 - c2, 2))) as dbar')} from bx join bc using (block) where n > 1 group by all", DESC)
+@query("block_profile", f"select label, block, v, {r('share as share', 'dbar as dbar', 'kontribusi as kontribusi')} from kon", DESC)
 def _(spark, sf):
-    x, b = block_rows(spark, sf)
-    return validity.desc_contribution(x, b)
+    """Size, mean distance to the centre and DESC contribution of every block."""
+    return validity.desc_contribution(validity.block_table(*block_rows(spark, sf))).select("label", "block", "v", "share", "dbar", "kontribusi")
+
+
+@query("top_blocks", f"select block, {r('kontribusi as kontribusi', '100 * kontribusi / (select sum(kontribusi) from kon) as pct')} from kon order by round(kontribusi, 9) desc, block limit 10", DESC)
+def _(spark, sf):
+    """The ten blocks that add most to DESC, with their share of it."""
+    found = validity.desc_contribution(validity.block_table(*block_rows(spark, sf)))
+    total = found.agg(F.sum("kontribusi").alias("total"))
+    top = found.orderBy(F.desc(F.round("kontribusi", 9)), "block").limit(10)
+    return top.join(F.broadcast(total), how="cross").select("block", "kontribusi", F.try_divide(100 * F.col("kontribusi"), F.col("total")).alias("pct"))
 
 
-@query("desc_n_pesc_n", f"""select label, {r('sum(q * q) as contiguity', 'sum(q * hom) as homogeneity')}, count(*) n_blocks from (select label, block, n, n / sum(n) over (partition by label)::double q, hom from (select label, block, n, avg(1 / (1 + pow(sqrt(pow(x1 - c1, 2) + pow(x2 - c2, 2)) / s, 2))) hom from bx join bc using (block), (select avg(sqrt(pow(x1 - g1, 2) + pow(x2 - g2, 2))) s from bx, (select avg(x1) g1, avg(x2) g2 from bx)) group by all)) group by label""", DESC)
+@query("desc_pesc", f"select {r('(select sum(kontribusi) from kon) as desc', 'coalesce(sum(w / (dm * da * bn)) filter (dm * da * bn > 1e-12), 0) as pesc')} from bp join (select label, count(*) bn from bt group by label) using (label)".replace(" as desc", ' as "desc"'), DESC)
 def _(spark, sf):
+    return validity.desc_pesc(validity.block_table(*block_rows(spark, sf)))
+
+
+@query("desc_n_pesc_n", f"""select {r('sum(cn * ds) / sum(cn) as desc_n', 'sum(cn * coalesce(p, 1)) / sum(cn) as pesc_n', 'sum(cn * ko) / sum(cn) as kontiguitas', 'sum(cn * ho) / sum(cn) as homogenitas', 'any_value(s) as s')}, cast(sum(bn) as bigint) n_blok
+  from (select label, any_value(cn) cn, count(*) bn, any_value(s) s, sum(share * share) ko, sum(share * g) ho, sum(share * share * g) ds from (select bt.*, s, 1 / (1 + pow(case when v = 1 then 1 else dbar / s end, 2)) g from bt, sc) group by label)
+  left join (select label, sum(w / (1 + pow(da / s, 2)) / greatest(d / 100, 1)) / sum(w) p from bp, sc group by label) using (label)""", DESC)
+def _(spark, sf):
+    from ..operators.areas import block_distances
+
     x, b = block_rows(spark, sf)
-    return validity.pesc_blocks(x, b)
+    near = block_distances(x.join(b.select("id", "block"), "id"), ["label"])
+    return validity.desc_pesc_n(x, b, near)
 
 
 @query("degenerate_flag", f"select {r('100 * max(p) as largest_pct')}, 100 * max(p) > 90 degenerate from (select count(*)::double / sum(count(*)) over () p from cell group by hazard)")

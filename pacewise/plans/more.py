@@ -14,12 +14,12 @@ from .groups import E, U, members
 from .registry import query, r
 from .space import PTS, SSSP, points, seeds
 
-RINGS = ', area as (select id aid, cx - 250 x0, cx + 250 x1, cy - 150 y0, cy + 150 y1 from cell where id % 60 = 0)'
+RINGS = ', area as (select id aid, cx - 250 x0, cx + 250 x1, cy - 150 y0, cy + 150 y1 from cell)'
 
 
 @query("locate_area", "select p.pid, min(a.aid) aid from pt p left join area a on ((px > x0 and px < x1 and py > y0 and py < y1)) group by p.pid", PTS + RINGS)
 def _(spark, sf):
-    c = t.cells(spark, sf).where("id % 60 = 0")
+    c = t.cells(spark, sf)
     corner = lambda a, b: F.struct((F.col("cx") + a).cast("double").alias("x"), (F.col("cy") + b).cast("double").alias("y"))
     rings = c.select(F.col("id").alias("aid"), F.array(corner(-250, -150), corner(250, -150), corner(250, 150), corner(-250, 150)).alias("ring"))
     pts = points(spark, sf).select("pid", F.col("px"), F.col("py"))
@@ -32,13 +32,14 @@ def _(spark, sf):
     return areas.nearest_within(points(spark, sf), s)
 
 
-@query("nearest_vertex_route", f"select c.id, kategori, {r('d as d')} from cell c join sp on sp.n = printf('%.2f', 100.0 * c.col) || '_' || printf('%.2f', 100.0 * c.\"row\") where c.id % 10 = 3", SSSP)
+@query("nearest_vertex_route", f"select c.id, kategori, {r('d as d')} from cell c join sp on sp.n = printf('%.2f', 100.0 * c.col) || '_' || printf('%.2f', 100.0 * c.\"row\")", SSSP)
 def _(spark, sf):
     """Routing semantics: nearest vertex within 1,000 m, metres along the network alone."""
-    tree = graph.shortest(graph.road_edges(t.roads(spark, sf)), seeds(spark, sf), ["kategori"])
+    edges = graph.road_edges(t.roads(spark, sf))
+    tree = graph.shortest(edges, seeds(spark, sf), ["kategori"])
     xy = F.split("sid", "_")
-    nodes = tree.select(F.col("n").alias("sid")).distinct().select("sid", xy[0].cast("double").alias("sx"), xy[1].cast("double").alias("sy"))
-    c = t.cells(spark, sf).where("id % 10 = 3").select(F.col("id").alias("pid"), (F.col("cx") - 40).alias("px"), (F.col("cy") - 40).alias("py"))
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("sid")).distinct().select("sid", xy[0].cast("double").alias("sx"), xy[1].cast("double").alias("sy"))
+    c = t.cells(spark, sf).select(F.col("id").alias("pid"), (F.col("cx") - 40).alias("px"), (F.col("cy") - 40).alias("py"))
     snap = spatial.nearest(c, nodes, 1, start=200.0).where("d <= 1000").select(F.col("pid").alias("id"), F.col("sid").alias("n"))
     return snap.join(tree.select("n", "kategori", "d"), "n").select("id", "kategori", "d")
 

@@ -80,13 +80,13 @@ def _(spark, sf):
     return spatial.raster_at(points(spark, sf).select("pid", (F.col("px") * 1.05).alias("px"), (F.col("py") * 1.05).alias("py")), px, 0.0, top, 100.0).select("pid", "cls")
 
 
-BOX = ', box as (select id bid, cx + 10 - 160 xmin, cy + 10 - 160 ymin, cx + 10 + 160 xmax, cy + 10 + 160 ymax from cell where id % 5 = 0)'
+BOX = ', box as (select id bid, cx + 10 - 160 xmin, cy + 10 - 160 ymin, cx + 10 + 160 xmax, cy + 10 + 160 ymax from cell)'
 
 
 @query("hazard_majority", "select b.bid, coalesce(arg_min(hazard, struct_pack(a := -n, b := hazard)), 0) cls from box b left join (select bid, hazard, count(*) n from box join cell c on c.cx > xmin and c.cx < xmax and c.cy > ymin and c.cy < ymax group by all) m on m.bid = b.bid group by b.bid", BOX)
 def _(spark, sf):
     px, top = pixels(spark, sf)
-    c = t.cells(spark, sf).where("id % 5 = 0")
+    c = t.cells(spark, sf)
     box = c.select(F.col("id").alias("bid"), *[(F.col(x) + 10 + s * 160).alias(n) for x, s, n in (("cx", -1, "xmin"), ("cy", -1, "ymin"), ("cx", 1, "xmax"), ("cy", 1, "ymax"))])
     return spatial.zonal_majority(box, px, 0.0, top, 100.0)
 
@@ -157,7 +157,7 @@ def _(spark, sf):
 def routes(spark, sf):
     """Nodes of the way from some cells' corners to their nearest shelter of category 0, and its length."""
     tree = graph.shortest(graph.road_edges(t.roads(spark, sf)), seeds(spark, sf).where("kategori = 0"), ["kategori"])
-    c = t.cells(spark, sf).where("id % 50 = 0")
+    c = t.cells(spark, sf)
     ends = c.select(F.lit(0).alias("kategori"), F.col("id").alias("pid"), graph.node(100.0 * F.col("col"), 100.0 * F.col("row")).alias("n")).join(tree.select("kategori", "n"), ["kategori", "n"])
     path = graph.routes(tree, ends, ["kategori"])
     return path.groupBy("pid").agg(F.count("*").alias("n_simpul"), F.max_by("n", "step").alias("ujung"))
@@ -192,12 +192,12 @@ def _(spark, sf):
     return hotspots(graph.components(links.select(F.col("pid").alias("a"), F.col("sid").alias("b")), c.select(F.col("id").alias("node"))))
 
 
-@query("recommend_isolated", f"select id, n, {r('score as score')} from (select c.id, s.n, greatest(0, 100 * (1 - s.d / 80 / 60)) score, row_number() over (partition by c.id order by sqrt(pow(cx - nx, 2) + pow(cy - ny, 2)), s.n) k from (select * from cell where id % 40 = 7) c join (select n, d, split_part(n, '_', 1)::double nx, split_part(n, '_', 2)::double ny from sp where kategori = 1) s on abs(nx - cx) <= 800 and abs(ny - cy) <= 800 where not (nx between cx - 50 and cx + 50 and ny between cy - 50 and cy + 50)) where k = 1", SSSP)
+@query("recommend_isolated", f"select id, n, {r('score as score')} from (select c.id, s.n, greatest(0, 100 * (1 - s.d / 80 / 60)) score, row_number() over (partition by c.id order by sqrt(pow(cx - nx, 2) + pow(cy - ny, 2)), s.n) k from cell c join (select n, d, split_part(n, '_', 1)::double nx, split_part(n, '_', 2)::double ny from sp where kategori = 1) s on abs(nx - cx) <= 800 and abs(ny - cy) <= 800 where not (nx between cx - 50 and cx + 50 and ny between cy - 50 and cy + 50)) where k = 1", SSSP)
 def _(spark, sf):
     found = graph.shortest(graph.road_edges(t.roads(spark, sf)), seeds(spark, sf).where("kategori = 1"), ["kategori"])
     xy = F.split("n", "_")
     sites = found.select(F.col("n").alias("sid"), "d", xy[0].cast("double").alias("sx"), xy[1].cast("double").alias("sy"))
-    c = t.cells(spark, sf).where("id % 40 = 7").select(F.col("id").alias("pid"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    c = t.cells(spark, sf).select(F.col("id").alias("pid"), F.col("cx").alias("px"), F.col("cy").alias("py"))
     pairs = spatial.around(c, sites.withColumnRenamed("d", "net"), 800.0).where("not (sx between px - 50 and px + 50 and sy between py - 50 and py + 50)").where("abs(sx - px) <= 800 and abs(sy - py) <= 800")
     best = pairs.groupBy("pid").agg(F.min_by(F.struct("sid", "net"), F.struct("d", "sid")).alias("b"))
     return best.select(F.col("pid").alias("id"), F.col("b.sid").alias("n"), F.greatest(F.lit(0.0), 100 * (1 - F.col("b.net") / 80 / 60)).alias("score"))

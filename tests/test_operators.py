@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pacewise.functions import scalars
-from pacewise.operators import access, fuzzy, graph, hazard, prep, ranking, regional, spatial, validity
+from pacewise.operators import access, areas, fuzzy, graph, hazard, prep, ranking, regional, spatial, validity
 from pacewise.sources import files
 from pacewise.sources.tables import levels
 
@@ -255,3 +255,25 @@ def test_regions():
     assert regional.agglomerate(x, i, j, 3).tolist() == regional.cut_tree(x, i, j, 3).tolist() == [0] * 12 + [1] * 12 + [2] * 12
     with pytest.raises(ValueError):
         regional.cut_tree(x, i[:-1], j[:-1], 3)
+
+
+def test_block_measures_of_a_strip(spark):
+    x = [0.0, 1.0, 1.0, 2.0]
+    strip = spark.createDataFrame([(i, lab, [x[i]], 100.0 * i, 0.0) for i, lab in enumerate([0, 1, 1, 0])], "id long, label int, x array<double>, cx double, cy double")
+    adjacency = spark.createDataFrame([(i, j) for i in range(4) for j in (i - 1, i + 1) if 0 <= j < 4], "i long, j long")
+    b = validity.blocks(strip.select("id", "label"), adjacency)
+    near = areas.block_distances(strip.join(b.select("id", "block"), "id"), ["label"])
+    got = validity.desc_pesc_n(strip, b, near).first()
+    s = np.mean(np.abs(np.array(x) - 1))
+    assert got["n_blok"] == 3 and got["s"] == pytest.approx(s)
+    assert got["pesc_n"] == pytest.approx(0.5 * (1 / 3) / (1 + (2 / s) ** 2) + 0.5)
+    assert got["kontiguitas"] == pytest.approx(0.5 * 0.5 + 0.5) and got["homogenitas"] == pytest.approx(0.5 * 0.5 + 0.5 * 1.0)
+    plain = validity.desc_pesc(validity.block_table(strip, b)).first()
+    assert plain["desc"] == 0 and plain["pesc"] == pytest.approx(0.25 / (0.3 * 2 * 2))
+
+
+def test_nearest_ends_without_sites(spark):
+    pts = spark.createDataFrame([(0, "a", 0.0, 0.0), (1, "b", 0.0, 0.0), (2, "a", 1e6, 0.0), (3, "a", None, 0.0)], "pid long, level string, px double, py double")
+    sites = spark.createDataFrame([(9, "a", 10.0, 0.0)], "sid long, level string, sx double, sy double")
+    assert rows(spatial.nearest(pts, sites, 1, by=["level"]), "pid", "sid") == [(0, 9), (2, 9)]
+    assert spatial.nearest(pts, sites.limit(0), 1, by=["level"]).count() == 0
