@@ -77,6 +77,20 @@ class _Graph:
             self.near[u].append((v, w, e))
             self.near[v].append((u, w, e))
 
+    def parts(self) -> list[int]:
+        """Number of each node's connected part."""
+        part = [-1] * len(self.names)
+        for first in range(len(part)):
+            if part[first] >= 0:
+                continue
+            part[first], todo = first, [first]
+            while todo:
+                for m, _, _ in self.near[todo.pop()]:
+                    if part[m] < 0:
+                        part[m] = first
+                        todo.append(m)
+        return part
+
     def add(self, name: str) -> int:
         """Number of a node, which may have no edges."""
         if name not in self.number:
@@ -88,10 +102,10 @@ class _Graph:
 
 def _solve(edges: pd.DataFrame, seeds: pd.DataFrame) -> dict:
     g = _Graph(edges)
-    # nodes in name order, so that ties between ways go to the smaller name as in the joins
+    # numbers follow the names, so that ties between ways go to the smaller name as in the joins
     start = [(d, str(s), n, s) for n, d, s in zip(seeds["n"], seeds["d"], seeds["src"], strict=True)]
     best: dict[int, tuple] = {}
-    heap = [(d, key, g.names[i := g.add(n)], i, s) for d, key, n, s in start]
+    heap = [(d, key, i := g.add(n), i, s) for d, key, n, s in start]
     heapq.heapify(heap)
     near, names = g.near, g.names
     while heap:
@@ -101,8 +115,8 @@ def _solve(edges: pd.DataFrame, seeds: pd.DataFrame) -> dict:
         best[n] = (d, prev, src)
         for m, w, _ in near[n]:
             if m not in best:
-                heapq.heappush(heap, (d + w, key, names[n], m, src))
-    return {names[n]: b for n, b in best.items()}
+                heapq.heappush(heap, (d + w, key, n, m, src))
+    return {names[n]: (d, names[prev], src) for n, (d, prev, src) in best.items()}
 
 
 def shortest(edges: DataFrame, seeds: DataFrame, by: list[str], kernel_edges: int = KERNEL_EDGES) -> DataFrame:
@@ -169,7 +183,10 @@ def ways(edges: DataFrame, wants: DataFrame, path: bool = False) -> DataFrame:
 
     def run(key, e: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         g = _Graph(e)
-        near, names = g.near, g.names
+        near = g.near
+        for name in (*w["n"], *w["sn"]):
+            g.add(name)
+        part = g.parts()
         net: list[float | None] = [None] * len(w)
         eids: list[list[int] | None] = [None] * len(w)
         w = w.reset_index(drop=True)
@@ -177,19 +194,22 @@ def ways(edges: DataFrame, wants: DataFrame, path: bool = False) -> DataFrame:
             start = g.add(sn)
             targets: dict[int, list[int]] = {}
             for k, n in zip(own.index.tolist(), own["n"].tolist(), strict=True):
-                targets.setdefault(g.add(n), []).append(k)
+                if part[at := g.add(n)] == part[start]:  # others are out of reach
+                    targets.setdefault(at, []).append(k)
             left = set(targets)
             done: dict[int, tuple[float, int, int]] = {}
-            heap = [(0.0, names[start], start, start, -1)]
+            best = {start: 0.0}
+            heap = [(0.0, start, start, -1)]
             while heap and left:
-                d, _, n, prev, eid = heapq.heappop(heap)
+                d, prev, n, eid = heapq.heappop(heap)
                 if n in done:
                     continue
                 done[n] = (d, prev, eid)
                 left.discard(n)
                 for m, length, by in near[n]:
-                    if m not in done:
-                        heapq.heappush(heap, (d + length, names[n], m, n, by))
+                    if m not in done and (far := d + length) <= best.get(m, far):
+                        best[m] = far
+                        heapq.heappush(heap, (far, n, m, by))
             for n, asking in targets.items():
                 if n not in done:
                     continue
