@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from . import access, groups, more, space  # noqa: F401
+from . import access, groups, more, reports, space  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

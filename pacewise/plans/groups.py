@@ -315,7 +315,7 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- fits
 
-FEATURES = ["density", "w0", "w1", "w2", "w3", "w4", "wmin", "opsi"]
+FEATURES = ["density", "w0", "w1", "w2", "w3", "w4", "wmin", "opsi", "terisolasi"]
 
 
 @query("preprocess_fit")

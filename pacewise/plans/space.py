@@ -190,15 +190,3 @@ def _(spark, sf):
     p = c.select(F.col("id").alias("pid"), F.col("cx").alias("px"), F.col("cy").alias("py"))
     links = spatial.within(p, p.select(F.col("pid").alias("sid"), F.col("px").alias("sx"), F.col("py").alias("sy")), 350.0).where("pid < sid")
     return hotspots(graph.components(links.select(F.col("pid").alias("a"), F.col("sid").alias("b")), c.select(F.col("id").alias("node"))))
-
-
-@query("recommend_isolated", f"select id, n, {r('score as score')} from (select c.id, s.n, greatest(0, 100 * (1 - s.d / 80 / 60)) score, row_number() over (partition by c.id order by sqrt(pow(cx - nx, 2) + pow(cy - ny, 2)), s.n) k from cell c join (select n, d, split_part(n, '_', 1)::double nx, split_part(n, '_', 2)::double ny from sp where kategori = 1) s on abs(nx - cx) <= 800 and abs(ny - cy) <= 800 where not (nx between cx - 50 and cx + 50 and ny between cy - 50 and cy + 50)) where k = 1", SSSP)
-def _(spark, sf):
-    found = graph.shortest(graph.road_edges(t.roads(spark, sf)), seeds(spark, sf).where("kategori = 1"), ["kategori"])
-    xy = F.split("n", "_")
-    sites = found.select(F.col("n").alias("sid"), "d", xy[0].cast("double").alias("sx"), xy[1].cast("double").alias("sy"))
-    c = t.cells(spark, sf).select(F.col("id").alias("pid"), F.col("cx").alias("px"), F.col("cy").alias("py"))
-    pairs = spatial.around(c, sites.withColumnRenamed("d", "net"), 800.0).where("not (sx between px - 50 and px + 50 and sy between py - 50 and py + 50)").where("abs(sx - px) <= 800 and abs(sy - py) <= 800")
-    best = pairs.groupBy("pid").agg(F.min_by(F.struct("sid", "net"), F.struct("d", "sid")).alias("b"))
-    return best.select(F.col("pid").alias("id"), F.col("b.sid").alias("n"), F.greatest(F.lit(0.0), 100 * (1 - F.col("b.net") / 80 / 60)).alias("score"))
-
