@@ -364,9 +364,9 @@ def _(spark, sf):
     return a.join(b, "id").select("id", "sa", "sb", (F.col("wb") - F.col("wa")).alias("delta"))
 
 
-@query("grid_records", "select id, level, state, round_even(wmin, 3) + 0.0::double as w, round_even(density, 4) + 0.0::double as density from frame where level = 'sedang' and state < 4", TIMES)
+@query("grid_records", "select id, level, state, round_even(wmin + 1e-9::double, 3) + 0.0::double as w, round_even(density + 1e-9::double, 4) + 0.0::double as density from frame where level = 'sedang' and state < 4", TIMES)
 def _(spark, sf):
-    return frame(spark, sf).where("level = 'sedang' and state < 4").select("id", "level", "state", F.bround("wmin", 3).alias("w"), F.bround("density", 4).alias("density"))
+    return frame(spark, sf).where("level = 'sedang' and state < 4").select("id", "level", "state", F.bround(F.col("wmin") + F.lit(1e-9), 3).alias("w"), F.bround(F.col("density") + F.lit(1e-9), 4).alias("density"))
 
 
 @query("time_bins", "select level, case when wmin >= t_pen then 'tak terjangkau' when wmin <= 5 then '<= 5' when wmin <= 10 then '<= 10' when wmin <= 15 then '<= 15' when wmin <= 30 then '<= 30' when wmin <= 60 then '<= 60' else '> 60' end kelas, count(*) n from frame group by all", TIMES)

@@ -15,8 +15,8 @@ SQL: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles half-even at six places (and no negative zero), so that the order of sums doesn't show."""
-    return df.select(*[(F.bround(f.name, places) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name) for f in df.schema])
+    """Doubles at six places, ties upwards (and no negative zero), so that the order of sums doesn't show: times are multiples of 1/160 and their means often lie half-way."""
+    return df.select(*[(F.bround(F.col(f.name) + F.lit(1e-9), places) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name) for f in df.schema])
 
 
 def query(name: str, sql: str | None = None, views: str = ""):
@@ -40,5 +40,5 @@ def r(*exprs: str) -> str:
     out = []
     for e in exprs:
         x, _, name = e.rpartition(" as ")
-        out.append(f"round_even({x}, 6) + 0.0::double as {name}")
+        out.append(f"round_even(({x}) + 1e-9::double, 6) + 0.0::double as {name}")
     return ", ".join(out)

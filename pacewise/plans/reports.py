@@ -135,9 +135,9 @@ def _(spark, sf):
     return n.select("level", "state", reports.typology_label(F.col("state"), 4, ["baik", "sedang", "", "terisolasi"]).alias("label"), "n")
 
 
-@query("map_links", "select id, 'https://www.google.com/maps/search/?api=1&query=' || printf('%.6f', -7.5 + id / 65536.0::double) || ',' || printf('%.6f', 110.25 + id / 32768.0::double) url from cell")
+@query("map_links", "select id, 'https://www.google.com/maps/search/?api=1&query=' || printf('%.6f', -7.5 + id / 70001.0::double) || ',' || printf('%.6f', 110.25 + id / 30011.0::double) url from cell")
 def _(spark, sf):
-    return t.cells(spark, sf).select("id", reports.map_url(F.lit(-7.5) + F.col("id") / 65536.0, F.lit(110.25) + F.col("id") / 32768.0).alias("url"))
+    return t.cells(spark, sf).select("id", reports.map_url(F.lit(-7.5) + F.col("id") / 70001.0, F.lit(110.25) + F.col("id") / 30011.0).alias("url"))
 
 
 @query("prepared_level", f"select f.level, f.id, f.state, f.opsi, {r('f.wmin as wmin', 'ps.t_ideal as t_ideal', 'ps.t_aktual as t_aktual')}, ps.status from frame f join ps on ps.id = f.id and ps.level = f.level", PSEUDO)
@@ -200,9 +200,9 @@ def _(spark, sf):
     return reports.prefill(now, old)
 
 
-@query("sheet_recheck", "select id, level, case when id % 3 > 0 then 'sama' else 'beda (' || printf('%.2f', t_aktual + 0.5) || ')' end cek from ps where status = 1", PSEUDO)
+@query("sheet_recheck", "select id, level, case when id % 3 > 0 then 'sama' else 'beda (' || printf('%.2f', t_aktual + 0.503) || ')' end cek from ps where status = 1", PSEUDO)
 def _(spark, sf):
     """Walks of pseudo-safe cells as a sheet holds them (a third of them off by half a minute) against those found by the search."""
-    again = own_shelter(spark, sf).select("id", "level", (F.col("t_aktual") + F.when(F.col("id") % 3 == 0, 0.5).otherwise(0.0)).alias("lagi"))
+    again = own_shelter(spark, sf).select("id", "level", (F.col("t_aktual") + F.when(F.col("id") % 3 == 0, 0.503).otherwise(0.0)).alias("lagi"))
     s = pseudo(spark, sf).where("status = 1").select("id", "level", "t_aktual", "t_pen").join(again, ["id", "level"], "left")
     return s.select("id", "level", reports.recheck(F.col("t_aktual"), F.coalesce("lagi", "t_pen")).alias("cek"))
