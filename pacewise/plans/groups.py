@@ -341,22 +341,16 @@ def block(spark, sf):
 @query("sdwfcm_fit")
 def _(spark, sf):
     x, pairs = block(spark, sf)
-    best = fuzzy.best_run(fuzzy.fits(spark, x, pairs, [(k, s, a) for k in (2, 3) for s in (42, 43, 44) for a in (0.0, 0.5)]))
+    best = fuzzy.best_run(fuzzy.fits(spark, x, pairs, [(k, s, a) for k in (2, 3, 4) for s in range(42, 52) for a in (0.0, 0.5)]))
     return best.select("k", "alpha", "seed", "j", "rounds")
 
 
 @query("k_stability")
 def _(spark, sf):
-    """Mean adjusted Rand index between starts, for each k."""
+    """Stability over ten starts and ten subsamples of K 2 to 10, with the K chosen and the runner-up."""
     x, pairs = block(spark, sf)
-    runs = fuzzy.fits(spark, x, pairs, [(k, s, 0.5) for k in (2, 3, 4) for s in (42, 43, 44)])
-    flat = runs.select("k", "seed", F.posexplode("labels").alias("i", "l")).persist()
-    a, b = flat.select("k", "i", F.col("seed").alias("sa"), F.col("l").alias("a")), flat.select("k", "i", F.col("seed").alias("sb"), F.col("l").alias("b"))
-    cross = a.join(b, ["k", "i"]).where("sa < sb").groupBy("k", "sa", "sb", "a", "b").agg(F.count("*").alias("n"))
-    from ..operators.access import rand_index
-
-    return rand_index(cross, ["k", "sa", "sb"]).groupBy("k").agg(F.avg("ari").alias("ari"))
-
+    xy = t.cells(spark, sf).orderBy("id").select("cx", "cy").toPandas().to_numpy()
+    return ranking.choose_k(fuzzy.stability(spark, x, xy, pairs))
 
 
 def rook_pairs(spark, sf):

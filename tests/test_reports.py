@@ -42,3 +42,28 @@ def test_prefill(spark):
         (2, "baseline"): (None, None, reports.VALIDATE, "dibawa"),
         (3, "tinggi"): ("G", None, reports.AUTOMATIC, None),
     }
+
+
+def test_stability_finds_the_number_of_groups(spark):
+    import numpy as np
+
+    from pacewise.operators import fuzzy, ranking
+
+    rng = np.random.default_rng(5)
+    xy = np.array([(100.0 * (i % 12), 100.0 * (i // 12)) for i in range(144)])
+    group = (xy[:, 0] // 400).astype(int)
+    x = np.stack([group * 5.0, (group == 1) * 5.0], axis=1) + rng.normal(0, 0.1, (144, 2))
+    got = {r["k"]: r for r in ranking.choose_k(fuzzy.stability(spark, x, xy, fuzzy.nearest_weights(xy), ks=(2, 3, 4), starts=(42, 43, 44), masks=3)).collect()}
+    assert set(got) == {2, 3, 4} and got[3]["ari"] > 0.99 and got[3]["ari_init"] > 0.99 and got[3]["largest_pct"] == pytest.approx(100 / 3)
+    assert got[2]["chosen"] in (2, 3)
+
+
+def test_rand_score_and_weights():
+    import numpy as np
+
+    from pacewise.operators import fuzzy
+
+    a, b = np.array([0, 0, 1, 1]), np.array([1, 1, 0, 0])
+    assert fuzzy.rand_score(a, b) == 1.0 and fuzzy.rand_score(a, np.array([0, 1, 0, 1])) == pytest.approx(-0.5)
+    i, j, w = fuzzy.nearest_weights(np.array([(0.0, 0.0), (1.0, 0.0), (5.0, 0.0)]), 1)
+    assert list(zip(i, j, w)) == [(0, 1, 1.0), (1, 0, 1.0), (2, 1, 1.0)]
