@@ -277,3 +277,31 @@ def test_nearest_ends_without_sites(spark):
     sites = spark.createDataFrame([(9, "a", 10.0, 0.0)], "sid long, level string, sx double, sy double")
     assert rows(spatial.nearest(pts, sites, 1, by=["level"]), "pid", "sid") == [(0, 9), (2, 9)]
     assert spatial.nearest(pts, sites.limit(0), 1, by=["level"]).count() == 0
+
+
+def test_chains_over_many_tiles_keep_every_distance(spark):
+    g = np.random.Generator(np.random.PCG64(5))
+    lines = [(100.0 * a, 100.0 * b, 100.0 * (a + dx), 100.0 * (b + 1 - dx)) for a in range(12) for b in range(12) for dx in (0, 1) if g.random() < 0.75]
+    net = spark.createDataFrame([(lv, k, *s) for lv, drop in (("baseline", 0), ("tinggi", 5)) for k, s in enumerate(lines) if not drop or k % drop], "level string, " + SEGMENTS)
+    cells = spark.createDataFrame([(i, 100.0 * (i % 12) + 50, 100.0 * (i // 12) + 50) for i in range(144)], "id long, cx double, cy double")
+    sites = [(i, i % 2, float(g.integers(0, 1200)) + 0.5, float(g.integers(0, 1200)) + 0.5) for i in range(9)]
+    st = spark.createDataFrame([(*s, lv, True) for s in sites for lv in ("baseline", "tinggi")], "id long, kategori int, x double, y double, level string, is_valid boolean")
+    places, valid = graph.place_names(cells, st)
+    snapped = graph.snap(places, net, ["level"]).select("level", "pid", "eid", "pos", "nid", "d").localCheckpoint()
+    legs = snapped.select("level", "pid", F.col("nid").alias("n"), F.col("d").alias("leg"))
+    edges = graph.split_edges(net, snapped, ["level"]).localCheckpoint()
+    seeds = valid.join(legs, ["level", "pid"]).groupBy("level", "kategori", "n").agg(F.min(F.struct("leg", "src")).alias("b")).select("level", "kategori", "n", F.col("b.leg").alias("d"), F.col("b.src").alias("src"))
+    plain = legs.join(graph.shortest(edges, seeds, ["level", "kategori"]), ["level", "n"]).where("pid like 'c%'")
+    want = sorted((int(r["pid"][1:]), r["level"], r["kategori"], round((r["leg"] + r["d"]) / 80, 6), r["src"]) for r in plain.collect())
+    wide, small = (graph.network_of(snapped, graph.contracted(net, snapped, tile).localCheckpoint(), valid) for tile in (1e5, 300.0))  # 300: the outermost tiles have marks alone
+    for short in (wide, small):
+        assert short[2].groupBy("level", "n").count().where("count > 1").count() == 0
+        got = graph.network_times(cells, st, net, net=short)
+        assert sorted((r["id"], r["level"], r["kategori"], round(r["minutes"], 6), r["tes"]) for r in got.collect()) == want and len(want) > 400
+    near = cells.crossJoin(net.select("level").distinct()).select("id", "level", (F.col("id") % 9).alias("tes"), F.lit(0.0).alias("d"))
+    each = valid.join(legs, ["level", "pid"]).select("level", F.col("src").alias("tes"), "n", F.col("leg").alias("d"), "src")
+    far = {(int(r["pid"][1:]), r["level"]): max(50.0, r["leg"] + r["d"]) / 80 for r in legs.join(graph.shortest(edges, each, ["level", "tes"]), ["level", "n"]).where("pid like 'c%' and tes = cast(substr(pid, 2) as int) % 9").collect()}
+    found = [{(r["id"], r["level"]): (r["t_aktual"], r["eids"]) for r in graph.own_shelter(cells, st, near, short, path=True).collect()} for short in (wide, small)]
+    for one in found:
+        assert {k: round(v[0], 6) for k, v in one.items() if v[0] is not None} == {k: round(v, 6) for k, v in far.items()}
+    assert {k: v[1] for k, v in found[0].items()} == {k: v[1] for k, v in found[1].items()}
