@@ -72,3 +72,15 @@ def test_lm_words_of_any_length():
     long = [np.concatenate([h for h, _ in got[i]]) for i in range(4)]
     assert long[1][2] == long[3][0] != long[0][1] and np.concatenate([p for _, p in got[0]])[1] > 0
     assert lmscore.hashed(b"x" * 600_000) == long[3][0]
+
+
+def test_tables_grow_with_the_chunk(monkeypatch):
+    from pacewise.llm import common
+
+    word, whole = b"thing" * 1000, common.letters_sum(b"thing" * 1000)
+    monkeypatch.setattr(common, "_CHUNK", 64)
+    monkeypatch.setattr(common._Tables, "ready", False)
+    assert common.letters_sum(word) == whole and len(common._Tables.pow) == 192
+    monkeypatch.undo()
+    common._Tables.ready = True
+    assert common.letters_sum(word) == whole
